@@ -16,6 +16,8 @@ benchmark finds nothing; only the id and text columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,15 @@ def _places(n: Column, span: int) -> Column:
 def seeds_of(hashes: Column, masks: tuple[str, ...], lengths: tuple[int, ...], whole: bool = False) -> Column:
     """Structs (at, seed) of every mask, and of all runs of each of ``lengths`` words (``whole``: whole texts only)."""
     n = F.size(hashes)
+
+    def hashed(k: int, picked: list[int]) -> Callable[[Column], Column]:
+        # The number of the mask goes into the hash: seeds of different masks never meet.
+        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(hashes, i + p) for p in picked)).alias("seed"))
+
     parts = []
     for k, mask in enumerate((*masks, *("1" * x for x in lengths))):
-        picked = [i for i, c in enumerate(mask) if c == "1"]
-        # k goes into the hash: seeds of different masks never meet.
         places = F.when(n == len(mask), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")) if whole and k >= len(masks) else _places(n, len(mask))
-        parts.append(F.transform(places, lambda i, k=k, picked=picked: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(hashes, i + p) for p in picked)).alias("seed"))))
+        parts.append(F.transform(places, hashed(k, [i for i, c in enumerate(mask) if c == "1"])))
     return F.concat(*parts)
 
 

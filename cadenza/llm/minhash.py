@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize
+from cadenza.llm.common import broadcast_if_small, materialize
 from cadenza.llm.graph import components
 
 WORDS = 5
@@ -46,8 +46,8 @@ CACHE_WORDS = 500_000
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _RNG = np.random.default_rng(7)
-_MUL = (_RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 class WordHashes(dict):
@@ -80,12 +80,12 @@ def shingles(text: str | None, known: WordHashes) -> np.ndarray:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """(documents, HASHES) minima of non-empty sets; 32 bits of each permuted hash are compared."""
+    """(documents, HASHES) minima of non-empty sets, of linear permutations of the hashes' upper 32 bits."""
     out = np.empty((len(sets), HASHES), np.uint32)
-    flat = np.concatenate(sets)
+    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), starts)
+        out[:, k] = np.minimum.reduceat(flat * _MUL[k] + _ADD[k], starts)
     return out
 
 
@@ -189,16 +189,127 @@ def confirmed(sets: list[np.ndarray], sigs: np.ndarray) -> np.ndarray:
     return merged.roots()
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) between class representatives that share a band and have a sufficient estimate.
+def _buckets(reps: DataFrame) -> DataFrame:
+    """Rows (rep, bucket, size, blocks) of the band buckets that hold several representatives."""
+    spots = reps.select("rep", F.explode("bands").alias("bucket"))
+    sizes = spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return spots.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
 
-    Every member of a bucket is compared with the members of its block and with the bucket's first ones, by estimate;
-    of the pairs that pass, a spanning forest is returned.
+
+def _candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b): a spanning forest, in each block of each bucket, of the pairs with a sufficient estimate.
+
+    The block of a document differs from bucket to bucket, so large buckets that share their members mix.
     """
-    spots = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    sizes = spots.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
-    placed = spots.join(sizes, ["band", "bucket"]).select("rep", "band", "bucket", "first", "size")
-    return placed
+    block = F.pmod(F.xxhash64("rep", "bucket"), "blocks")
+    rows = buckets.select("rep", "bucket", block.alias("block")).join(reps.select("rep", "sig"), "rep")
+
+    def forest(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("rep")
+        rep = df["rep"].to_numpy()
+        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
+        merged = Merged(len(rep))
+        least = least_estimate()
+        for i in range(len(rep) - 1):
+            for j in (np.flatnonzero(estimates(sigs[i], sigs[i + 1 :]) >= least) + i + 1).tolist():
+                merged.join(i, j)
+        root = merged.roots()
+        own = np.flatnonzero(root != np.arange(len(rep)))
+        return pd.DataFrame({"a": rep[own], "b": rep[root[own]]})
+
+    found = rows.groupBy("bucket", "block").applyInPandas(forest, "a bigint, b bigint")
+    return materialize(found.distinct(), "minhash-candidates")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns of ``wanted`` (id, key and others) with the shingle set (hashes as bytes) and signature of each class."""
+    wanted = broadcast_if_small(wanted)
+    rows = texts.join(wanted.withColumnRenamed("id", "wid"), F.col("id") == F.col("wid")).drop("wid")
+    others = [c for c in rows.columns if c not in ("text",)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            sets = [shingles(t, known).tobytes() for t in batch.column("text").to_pylist()]
+            # A repeated id has other texts, whose sets are not those of this class.
+            fits = [hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(sets, batch.column("key").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sets, pa.binary())], names=[*others, "shingles"])
+            yield out.filter(pa.array(fits))
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others), "shingles binary"])
+    return rows.mapInArrow(run, schema)
+
+
+def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed edges (a, b) that connect whatever confirmed pairs connect."""
+    buckets = materialize(_buckets(reps), "minhash-buckets")
+    grouped = components(_candidates(buckets, reps)).withColumnRenamed("node", "rep").withColumnRenamed("component", "g")
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("size"))
+    members = grouped.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    leader = (F.col("blocks") > 1) & ((F.col("rep") == F.col("g")) | (F.pmod(F.xxhash64("rep", "size"), "size") < LEADERS))
+    where = F.when(leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    members = materialize(members.join(reps.select("rep", "key"), "rep").select(F.col("rep").alias("id"), "key", "g", "blocks", where.alias("where")), "minhash-groups")
+    rows = _sets(texts, members).join(reps.select(F.col("rep").alias("id"), "sig"), "id").select("id", "g", "shingles", "sig", F.explode("where").alias("block"))
+
+    def confirm(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.drop_duplicates("id").sort_values("id")
+        ids = df["id"].to_numpy()
+        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(ids), -1)
+        root = confirmed([np.frombuffer(s, np.uint64) for s in df["shingles"]], sigs)
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[own], "b": ids[root[own]]})
+
+    links = materialize(rows.groupBy("g", "block").applyInPandas(confirm, "a bigint, b bigint"), "minhash-links")
+    large = members.where("blocks > 1").select(F.col("id").alias("rep"), "g")
+    if not large.limit(1).count():
+        return links
+    return _across(links, large, buckets, reps, texts)
+
+
+def _across(links: DataFrame, large: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """``links`` and the confirmed edges between parts of large groups that have remained apart.
+
+    In each bucket, members outside its largest part meet all others by estimate; the pairs that pass are confirmed one
+    by one.  Where a group has become one part, nothing is left to do.
+    """
+    parts = components(links).withColumnRenamed("node", "n")
+    placed = large.join(parts, F.col("rep") == F.col("n"), "left").select("rep", "g", F.coalesce("component", "rep").alias("part"))
+    open_groups = placed.groupBy("g").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("g")
+    placed = materialize(placed.join(open_groups, "g", "left_semi").select("rep", "part"), "minhash-parts")
+    spots = buckets.select("rep", "bucket").join(placed, "rep")
+    shares = spots.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    most = shares.groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.sum("n").alias("size"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    spots = spots.join(most, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    where = F.when(F.col("part") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spots = spots.select("rep", "part", "bucket", F.explode(where).alias("block")).join(reps.select("rep", "sig"), "rep")
+
+    def apart(df: pd.DataFrame) -> pd.DataFrame:
+        rep, part = df["rep"].to_numpy(), df["part"].to_numpy()
+        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
+        least, a, b = least_estimate(), [], []
+        for i in range(len(rep) - 1):
+            near = np.flatnonzero((part[i + 1 :] != part[i]) & (estimates(sigs[i], sigs[i + 1 :]) >= least)) + i + 1
+            a.append(np.minimum(rep[i], rep[near]))
+            b.append(np.maximum(rep[i], rep[near]))
+        return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+    pairs = materialize(spots.groupBy("bucket", "block").applyInPandas(apart, "a bigint, b bigint").distinct(), "minhash-pairs")
+    if not pairs.limit(1).count():
+        return links
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = _sets(texts, wanted.join(reps.select(F.col("rep").alias("id"), "key"), "id")).select("id", "shingles")
+    sets = materialize(sets.dropDuplicates(["id"]), "minhash-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    return links.unionByName(materialize(both.mapInArrow(compare, "a bigint, b bigint"), "minhash-late-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

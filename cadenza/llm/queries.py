@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, decontaminate, embeddings, langid, licenses, linededup, secrets, toxicity
+from cadenza.llm import bpe, decontaminate, embeddings, langid, licenses, linededup, minhash, secrets, toxicity
 from cadenza.llm.common import held_out, read_table
 
 
@@ -56,6 +56,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
