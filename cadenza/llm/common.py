@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -22,10 +23,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
-    path = table_path(df.sparkSession, label)
+    """Write ``df`` below the shared checkpoint folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files that only ``df`` needed are of no further use; a garbage collection on the driver lets Spark's cleaner
+    delete them now, not half an hour later.
+    """
+    spark, schema, path = df.sparkSession, df.schema, table_path(df.sparkSession, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table_path(spark: SparkSession, label: str) -> str:

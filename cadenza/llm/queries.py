@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, decontaminate, embeddings, langid, licenses, linededup, minhash, secrets, toxicity
+from cadenza.llm import bpe, decontaminate, embeddings, langid, licenses, linededup, minhash, repeats, secrets, toxicity
 from cadenza.llm.common import held_out, read_table
 
 
@@ -28,6 +28,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read_table(spark, sf_dir, "documents"), outputs=("kept_sha256",))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs))
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_line_dedup": op2_line_dedup,
+        "op3_repeats": op3_repeats,
         "op4_language_id": op4_language_id,
         "op5_secrets": op5_secrets,
         "op6_embedding_dedup": op6_embedding_dedup,
