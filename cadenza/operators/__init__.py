@@ -1,0 +1,6 @@
+"""Operators by name."""
+
+from cadenza.operators import crosssection, daily, elementwise, masks, relational, timeaxis
+from cadenza.operators.registry import OPERATORS, apply
+
+__all__ = ["OPERATORS", "apply", "crosssection", "daily", "elementwise", "masks", "relational", "timeaxis"]
