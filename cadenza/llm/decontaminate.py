@@ -38,8 +38,16 @@ def _places(n: Column, span: int) -> Column:
     return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
 
 
-def seeds_of(hashes: Column, masks: tuple[str, ...], lengths: tuple[int, ...], whole: bool = False) -> Column:
-    """Structs (at, seed) of every mask, and of all runs of each of ``lengths`` words (``whole``: whole texts only)."""
+def _pair(hashes: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
+
+
+def seeds_of(hashes: Column, masks: tuple[str, ...], lengths: tuple[int, ...], whole: bool = False, pairs: list[int] | None = None) -> Column:
+    """Structs (at, seed) of every mask, and of all runs of each of ``lengths`` words (``whole``: whole texts only).
+
+    ``pairs``: hashes of the first two words of all seeds that are sought.  Seeds are formed only where such a pair is,
+    which loses none, since every mask begins with two words that count.
+    """
     n = F.size(hashes)
 
     def hashed(k: int, picked: list[int]) -> Callable[[Column], Column]:
@@ -49,6 +57,8 @@ def seeds_of(hashes: Column, masks: tuple[str, ...], lengths: tuple[int, ...], w
     parts = []
     for k, mask in enumerate((*masks, *("1" * x for x in lengths))):
         places = F.when(n == len(mask), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")) if whole and k >= len(masks) else _places(n, len(mask))
+        if pairs is not None and mask.startswith("11"):
+            places = F.filter(places, lambda i: _pair(hashes, i).isin(pairs))
         parts.append(F.transform(places, hashed(k, [i for i, c in enumerate(mask) if c == "1"])))
     return F.concat(*parts)
 
@@ -68,11 +78,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # At most span - 1 numbers, however large the benchmark.
     lengths = tuple(sorted(r[0] for r in items.where(F.size("other") < span).select(F.size("other")).distinct().collect()))
     seeds = items.select("item", "other", F.explode(seeds_of(F.col("other"), masks, lengths, whole=True)).alias("s")).select("item", "other", F.col("s.at").alias("other_at"), "s.seed")
+    # Counted before anything is collected or broadcast: beyond the bound both sides are shuffled, and pairs not used.
+    small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    pairs = [r[0] for r in seeds.where(F.size("other") > 1).select(_pair(F.col("other"), F.col("other_at")).alias("pair")).distinct().collect()] if small else None
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     hashed = narrow.where("id IS NOT NULL").select("id", word_hashes(F.col("text")).alias("own"))
-    placed = hashed.select("id", "own", F.explode(seeds_of(F.col("own"), masks, lengths)).alias("d")).select("id", "own", F.col("d.at").alias("at"), F.col("d.seed").alias("dseed"))
+    placed = hashed.select("id", "own", F.explode(seeds_of(F.col("own"), masks, lengths, pairs=pairs)).alias("d")).select("id", "own", F.col("d.at").alias("at"), F.col("d.seed").alias("dseed"))
     width = F.least(F.lit(span), F.size("other"))
-    if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small:
         hits = placed.join(F.broadcast(seeds), F.col("dseed") == F.col("seed"))
     else:
         met = placed.drop("own").join(seeds.drop("other"), F.col("dseed") == F.col("seed"))
