@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import materialize
-from cadenza.llm.graph import components
+from cadenza.llm.graph import components, least_rows
 
 THRESHOLD = 0.9
 MISS = 0.01
@@ -158,7 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 fresh[b] = ~(sig[back[: len(i)][b]] == sig[back[len(i) :][b]]).any(axis=1)
             i, j = i[fresh], j[fresh]
         n_links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-        root = _forest(len(rep), i, j)
+        root = least_rows(len(rep), i, j)
         got = np.flatnonzero(n_links)
         return pd.DataFrame({"rep": rep[got], "links": n_links[got].astype(np.int64), "other": rep[root[got]]})
 
@@ -171,17 +171,3 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = rows.select("id", "key").join(told, "key", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the least row that pairs (i, j) connect it to."""
-    root = np.arange(n)
-    while True:
-        least = root.copy()
-        np.minimum.at(least, i, root[j])
-        np.minimum.at(least, j, root[i])
-        np.minimum.at(least, root, least)
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least

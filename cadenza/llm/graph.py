@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def least_rows(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that pairs (i, j) connect it to."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, i, root[j])
+        np.minimum.at(least, j, root[i])
+        np.minimum.at(least, root, least)
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import broadcast_if_small, materialize
-from cadenza.llm.graph import components
+from cadenza.llm.graph import components, least_rows
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -41,7 +41,9 @@ BITS = 4
 SIGMAS = 4.0
 BLOCK = 192
 LEADERS = 8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
+#: Rows of buckets that are compared in one call, on average.
+ROWS_PER_CALL = 600
 
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -133,7 +135,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 if len(known) > CACHE_WORDS:
                     known.clear()
                 sets, size, first = [], 0, at
-                while at < len(ids) and size < 1_000_000:
+                while at < len(ids) and size < 300_000:
                     sets.append(shingles(texts[at].as_py(), known))
                     size += len(sets[-1])
                     at += 1
@@ -202,25 +204,42 @@ def _candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     The block of a document differs from bucket to bucket, so large buckets that share their members mix.
     """
     block = F.pmod(F.xxhash64("rep", "bucket"), "blocks")
-    rows = buckets.select("rep", "bucket", block.alias("block")).join(reps.select("rep", "sig"), "rep")
+    rows = buckets.select("rep", F.xxhash64("bucket", block).alias("cell")).join(reps.select("rep", "sig"), "rep")
+    # Most cells hold two or three rows: many of them make up one call.
+    calls = max(1, buckets.count() // ROWS_PER_CALL)
 
     def forest(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("rep")
-        rep = df["rep"].to_numpy()
+        df = df.sort_values(["cell", "rep"])
+        rep, cell = df["rep"].to_numpy(), df["cell"].to_numpy()
         sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
-        merged = Merged(len(rep))
-        least = least_estimate()
-        for i in range(len(rep) - 1):
-            for j in (np.flatnonzero(estimates(sigs[i], sigs[i + 1 :]) >= least) + i + 1).tolist():
-                merged.join(i, j)
-        root = merged.roots()
+        least, found = least_estimate(), []
+        ends = np.searchsorted(cell, cell, side="right")
+        for i, j in _pairs(ends):
+            near = estimates(sigs[i], sigs[j]) >= least
+            found.append((i[near], j[near]))
+        i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        root = least_rows(len(rep), i, j)
         own = np.flatnonzero(root != np.arange(len(rep)))
         return pd.DataFrame({"a": rep[own], "b": rep[root[own]]})
 
-    found = rows.groupBy("bucket", "block").applyInPandas(forest, "a bigint, b bigint")
+    found = rows.groupBy(F.pmod("cell", F.lit(calls)).alias("call")).applyInPandas(forest, "a bigint, b bigint")
     return materialize(found.distinct(), "minhash-candidates")
 
 
+def _pairs(ends: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j < ends[i], some 100,000 at a time."""
+    counts = ends - np.arange(len(ends)) - 1
+    total = np.cumsum(counts)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        n = counts[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        first = np.cumsum(n) - n
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(first, n)
+        at = stop
+
+
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Columns of ``wanted`` (id, key and others) with the shingle set (hashes as bytes) and signature of each class."""
     wanted = broadcast_if_small(wanted)
