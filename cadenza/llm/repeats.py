@@ -36,8 +36,9 @@ from cadenza.llm.common import discard, materialize
 
 LENGTH = 200
 GRAM = 32
-#: Distinct contexts of one minimiser that are indexed together, and contexts of a bucket on average.
-MANY = 384
+#: Distinct contexts of one minimiser that are indexed together at most (some 3.5 MB of text, 400 MB of arrays), and
+#: contexts of a bucket on average.
+MANY = 12_000
 BUCKET = 512
 SLICE = 1 << 20
 
