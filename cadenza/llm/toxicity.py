@@ -99,9 +99,10 @@ class Model:
 
 
 def summary(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Columns: largest marginal, log of one plus their sum, root of their mean, 1."""
+    """Columns: largest marginal, log of one plus the sum of those that count, root of that sum per word, 1."""
     n = np.diff(offsets)
-    total = np.concatenate([[0.0], np.cumsum(p)])
+    # Chances below a tenth do not add up, else a very long text would be toxic for its length alone.
+    total = np.concatenate([[0.0], np.cumsum(np.where(p >= 0.1, p, 0.0))])
     sums = np.maximum(0, total[offsets[1:]] - total[offsets[:-1]])
     peak = np.zeros(len(n))
     if len(p):
@@ -119,38 +120,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def tied_features(words: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features whose document counts go with the label: at least 4 standard deviations and five times the share."""
+def tied_features(words: list[np.ndarray], own: list[list[str]], toxic: np.ndarray) -> set[str]:
+    """Features whose document counts go with the label: at least 4 standard deviations and five times the share.
+
+    ``words``: numbers of each document's words; ``own``: features of each numbered word.
+    """
     hit: Counter[str] = Counter()
     every: Counter[str] = Counter()
-    known: dict[str, list[str]] = {}
     for doc, t in zip(words, toxic, strict=True):
-        own = {f for w in set(doc) for f in known.setdefault(w, features(w))}
-        every.update(own)
+        found = {f for w in np.unique(doc).tolist() for f in own[w]}
+        every.update(found)
         if t:
-            hit.update(own)
+            hit.update(found)
     share = toxic.mean()
     n1, n0 = toxic.sum(), (~toxic).sum()
-    found = set()
+    tied = set()
     for f, a in hit.items():
         n = every[f]
         if a >= 4 and a - n * share >= 4 * np.sqrt(n * share * (1 - share)) and (a + 0.5) / (n1 + 1) >= 5 * (n - a + 0.5) / (n0 + 1):
-            found.add(f)
-    return found
+            tied.add(f)
+    return tied
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 50, ridge: float = 1e-4) -> Model:
     """CRF and readout from texts and their labels; ``prior``: share of toxic texts among all training rows."""
     trans = np.ones((2, 2))
     if not len(texts) or toxic.all() or not toxic.any():
-        return Model(np.zeros(1), 0.0, trans, np.zeros(4), float(prior))
-    words = [_WORDS.findall(t) for t in texts]
-    tied = tied_features(words, toxic)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, trans, np.zeros(4), float(prior))
     number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for doc in words for w in doc), np.int64)
+    words = [np.fromiter((number.setdefault(m[0], len(number)) for m in _WORDS.finditer(t)), np.int32) for t in texts]
+    flat = np.concatenate(words)
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in words])])
     owner = np.repeat(np.arange(len(words)), np.diff(offsets))
     own = [features(w) for w in number]
+    tied = tied_features(words, own, toxic)
     bad = np.array([any(f in tied for f in fs) for fs in own], bool)
     label = bad[flat] & toxic[owner] if len(flat) else np.zeros(0, bool)
     lookup = np.array([b for fs in own for b in map(_bucket, fs)], np.int64)
