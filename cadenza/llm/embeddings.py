@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -39,11 +41,14 @@ MISS = 0.01
 BLOCK = 256
 #: Classes that share a bucket on average, beyond which another bit is taken.
 PER_BUCKET = 24
+#: Rows of units that are compared in one call, on average.
+ROWS_PER_CALL = 1500
 #: Width of the confidence interval in standard deviations of the estimate.
 SIGMAS = 4.0
 SEED = 20240607
 
 
+@cache
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -56,10 +61,14 @@ def plan_tables(classes: int, threshold: float = THRESHOLD, miss: float = MISS)
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
+@cache
+def _planes(dim: int, n: int) -> np.ndarray:
+    return np.random.default_rng([SEED, 1, dim]).normal(size=(dim, n))
+
+
 def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Bucket numbers (rows, tables) of unit vectors."""
-    planes = np.random.default_rng([SEED, 1, x.shape[1]]).normal(size=(x.shape[1], bits * tables))
-    on = (x @ planes > 0).reshape(len(x), tables, bits)
+    on = (x @ _planes(x.shape[1], bits * tables) > 0).reshape(len(x), tables, bits)
     return on @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -70,17 +79,24 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return turned, signs, (turned * signs).sum(axis=1)
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of unit vectors with cosine of at least ``threshold``."""
-    dim = x.shape[1]
-    turned, _, _ = codes(x)
-    _, signs, factor = codes(y)
+def near_pairs(x: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray | None]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of unit vectors with cosine of at least ``threshold``.
+
+    Each cell names rows that are compared with each other, or two sets of rows that are compared across.
+    """
+    turned, signs, factor = codes(x)
     factor = np.maximum(factor, 1e-9)
-    estimate = (turned.astype(np.float32) @ signs.T.astype(np.float32)) / factor.astype(np.float32)
-    spread = np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, dim - 1))
-    i, j = np.nonzero(estimate >= (threshold - SIGMAS * spread - 1e-3).astype(np.float32))
-    exact = np.einsum("ij,ij->i", x[i], y[j])
-    keep = exact >= threshold
+    spread = np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, x.shape[1] - 1))
+    least = (threshold - SIGMAS * spread - 1e-3) * factor  # of the inner product, before the correction
+    turned, signs = turned.astype(np.float32), signs.astype(np.float32)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for left, right in cells:
+        a, b = np.nonzero(turned[left] @ signs[left if right is None else right].T >= least[left if right is None else right])
+        if right is None:
+            a, b = a[a < b], b[a < b]
+        found.append((left[a], (left if right is None else right)[b]))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    keep = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
     return i[keep], j[keep]
 
 
@@ -139,30 +155,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # A row of block i goes to the units (i, j) and (j, i) of every block j; the larger number is named second.
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
-    def linked(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        t, bucket, lo, hi = key
-        dim = int(bucket) & 0xFFFF
-        x = unit_rows(np.frombuffer(b"".join(df["v"]), dtype).reshape(-1, dim))
-        rep, copies, block = df["rep"].to_numpy(), df["copies"].to_numpy(), df["block"].to_numpy()
-        left, right = (np.flatnonzero(block == lo), np.flatnonzero(block == hi))
-        i, j = near_pairs(x[left], x[right], threshold)
-        i, j = left[i], right[j]
-        if lo == hi:
-            i, j = i[i < j], j[i < j]
-        if t and len(i):  # pairs that an earlier table has found
-            used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-            sig = signatures(x[used], bits, tables)[:, :t]
-            fresh = np.ones(len(i), bool)
-            for a in range(0, len(i), 65536):
-                b = slice(a, a + 65536)
-                fresh[b] = ~(sig[back[: len(i)][b]] == sig[back[len(i) :][b]]).any(axis=1)
-            i, j = i[fresh], j[fresh]
+    def linked(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["t", "bucket", "lo", "hi", "rep"])
+        unit = np.cumsum((df[["t", "bucket", "lo", "hi"]].diff() != 0).any(axis=1).to_numpy())
+        rep, copies, block, table = (df[c].to_numpy() for c in ("rep", "copies", "block", "t"))
+        lo, hi, dims = df["lo"].to_numpy(), df["hi"].to_numpy(), df["bucket"].to_numpy() & 0xFFFF
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for dim in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == dim)
+            x = unit_rows(np.frombuffer(b"".join(df["v"].to_numpy()[own]), dtype).reshape(-1, dim))
+            cuts = np.flatnonzero(np.diff(unit[own], prepend=-1, append=-1))
+            cells = []
+            for a, b in pairwise(cuts.tolist()):
+                rows, first = np.arange(a, b), own[a]
+                cells.append((rows, None) if lo[first] == hi[first] else (rows[block[own[a:b]] == lo[first]], rows[block[own[a:b]] == hi[first]]))
+            p, q = near_pairs(x, cells, threshold)
+            if len(p):  # pairs that an earlier table has found
+                used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+                sig = signatures(x[used], bits, tables)
+                fresh = np.ones(len(p), bool)
+                for a in range(0, len(p), 65536):
+                    k = slice(a, a + 65536)
+                    before = np.arange(tables) < table[own[p[k]]][:, None]
+                    fresh[k] = ~((sig[back[: len(p)][k]] == sig[back[len(p) :][k]]) & before).any(axis=1)
+                i.append(own[p[fresh]])
+                j.append(own[q[fresh]])
+        i, j = np.concatenate(i), np.concatenate(j)
         n_links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
         root = least_rows(len(rep), i, j)
         got = np.flatnonzero(n_links)
         return pd.DataFrame({"rep": rep[got], "links": n_links[got].astype(np.int64), "other": rep[root[got]]})
 
-    found = units.groupBy("t", "bucket", "lo", "hi").applyInPandas(linked, "rep bigint, links bigint, other bigint")
+    # Most units hold a few rows: many of them make up one call.
+    calls = max(1, n * tables // ROWS_PER_CALL)
+    found = units.groupBy(F.pmod(F.xxhash64("t", "bucket", "lo", "hi"), F.lit(calls)).alias("call")).applyInPandas(linked, "rep bigint, links bigint, other bigint")
     found = materialize(found, "vector-links")
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
