@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 _UNSAFE = re.compile(r" (?:\s|\Z)").search
 #: Entries of the per-worker cache of words, dropped as a whole when full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -230,7 +230,7 @@ def _coder(data: bytes, pattern: str) -> MergeReplay:
 
 
 #: Characters of text that are replayed together.
-SLICE_CHARS = 12_000_000
+SLICE_CHARS = 6_000_000
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
