@@ -241,6 +241,18 @@ def _fill() -> None:
     case("xs__piotroski_score", "piotroski_score(A.fopt, A.oancf, A.ib, A.at, A.dltt, A.act, A.lct, A.txt, A.xint, A.sale, A.ceq, C.mve_permco, C.shrout)", "CASE WHEN b = 5 AND " + " AND ".join(f"{c} IS NOT NULL" for c in ("cash", "u_ib", "u_at", "u_dltt", "u_act", "u_lct", "u_sale", "u_shrout")) + " THEN " + " + ".join(points) + " END", *u, *ratios)
 
 
+def flagship() -> str:
+    """SQL of the factors of the flagship query, stacked."""
+    parts = {
+        "AM": steps(0, ratio("at", "mve_permco")),
+        "AssetGrowth": steps(12, ratio("at - a12", "nullif(a12, 0)"), ("a12", lag("at", 12))),
+        "Mom12m": steps(11, f"CASE WHEN inside THEN {compound('r', [1, 11])} END", _R0, _IN),
+        "Size": steps(0, f"CASE WHEN strict THEN {log('mve_c')} END"),
+        "STreversal": steps(0, "CASE WHEN strict THEN coalesce(ret, 0) END"),
+    }
+    return " UNION ALL ".join(f"SELECT e, m, '{name}' AS factor, value FROM ({sql}) q_{name}" for name, sql in parts.items())
+
+
 _fill()
 
 
