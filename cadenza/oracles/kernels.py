@@ -23,6 +23,7 @@ def rows_only(name: str, formula: str) -> None:
     CASES[name] = (formula, None)
 
 
+MS = "ms_signal(A.at, A.ceq, A.ni, A.oancf, A.fopt, A.wcapch, A.ib, A.dp, A.xrd, A.capx, A.xad, A.revt, C.mve_permco, C.sicCRSP, Q.niq, Q.atq, Q.saleq, Q.oancfy, Q.capxy, Q.xrdq, Q.fqtr)"
 _SPINE = "spine AS (SELECT e, CAST(unnest(range(lo, hi + 1)) AS INT) AS m FROM (SELECT e, min(m) AS lo, max(m) AS hi FROM stock_month GROUP BY e))"
 
 
@@ -105,6 +106,19 @@ def _fill() -> None:
         last = f"v{k}"
     inside = "m BETWEEN min(CASE WHEN strict THEN m END) OVER (PARTITION BY e) AND max(CASE WHEN strict THEN m END) OVER (PARTITION BY e)"
     table_case("event__dividend_omission_flag", "dividend_omission_flag()", dt, f"{_SPINE}, {div}, o AS (SELECT *, CASE WHEN strict THEN CASE WHEN d > 0 THEN 1.0 ELSE 0 END END AS paid, {inside} AS inside FROM grid){omit}, w AS (SELECT *, CASE WHEN inside THEN CASE WHEN {' OR '.join(tests)} THEN 1.0 ELSE 0 END END AS now FROM {last}), z AS (SELECT e, m, CASE WHEN coalesce({frame('sum(now)', 1)} = 1, false) THEN 1 ELSE 0 END AS v FROM w)")
+    ut = [*u, "estimates"]
+    along = "OVER (PARTITION BY ticker ORDER BY m)"
+    table_case("join__sum_scaled_revisions", "sum_scaled_revisions()", ut, f"{_SPINE}, {_TICKERS}, e0 AS (SELECT ticker, m, meanest, fpedats, statpers, lag(meanest) {along} AS l, lag(fpedats) {along} AS pe FROM estimates WHERE fpi = '1'), e1 AS (SELECT ticker, m, CASE WHEN NOT coalesce(fpedats > statpers + 30, false) AND coalesce(fpedats = pe, false) AND l IS NOT NULL THEN l ELSE meanest END AS x FROM e0), est AS (SELECT e, m, max(x) AS x FROM tickers JOIN e1 USING (ticker, m) GROUP BY e, m), pr AS (SELECT e, m, max(prc) AS prc FROM universe GROUP BY e, m), g AS (SELECT s.e, s.m, x, prc FROM spine s LEFT JOIN est USING (e, m) LEFT JOIN pr USING (e, m)), r AS (SELECT e, m, (x - {lag('x', 1)}) / nullif(abs({lag('prc', 1)}), 0) AS r FROM g), z AS (SELECT e, m, CASE WHEN {frame('count(r)', 6)} = 7 THEN {frame('sum(r)', 6)} END AS v FROM r)")
+    sm = [*u, "estimates", "statement_month"]
+    diff = " - ".join(["(act - act_l)", "(che - che_l)", "((lct - lct_l) - (dlc - dlc_l) - (txp - txp_l))"])
+    lags = ", ".join(f"{lag(c, 12)} AS {c}_l" for c in ("act", "che", "lct", "dlc", "txp"))
+    table_case("join__chforecast_accrual_signal", "chforecast_accrual_signal()", sm, f"{_SPINE}, c AS (SELECT e, m, max(act) AS act, max(che) AS che, max(lct) AS lct, max(dlc) AS dlc, max(txp) AS txp, max(statement_month.\"at\") AS ta FROM statement_month GROUP BY e, m), l AS (SELECT *, {lags}, {lag('ta', 12)} AS ta_l FROM c), a AS (SELECT e, m, ({diff}) / nullif((ta + ta_l) / 2, 0) AS ac FROM l), est AS (SELECT ticker, m, max(meanest) AS est FROM estimates WHERE fpi = '1' GROUP BY ticker, m), j AS (SELECT a.e, a.m, ac, est FROM a LEFT JOIN (SELECT e, m, min(ticker) AS ticker FROM universe WHERE ticker IS NOT NULL GROUP BY e, m) t ON a.e = t.e AND a.m = t.m LEFT JOIN est ON t.ticker = est.ticker AND a.m = est.m), q AS (SELECT *, quantile_cont(ac, 0.5) OVER (PARTITION BY m) AS med, min(ac) OVER (PARTITION BY m) AS lo, max(ac) OVER (PARTITION BY m) AS hi, lag(est) OVER (PARTITION BY e ORDER BY m) AS pe FROM j), z AS (SELECT e, m, CASE WHEN est > pe THEN 1 WHEN est < pe THEN 0 END AS v FROM q WHERE NOT coalesce(lo < hi AND NOT (med > lo AND med < hi AND med < ac), false))")
+    table_case("join__fgr5yr_lag_signal", "fgr5yr_lag_signal()", sm, f"{_SPINE}, {_TICKERS}, c AS (SELECT DISTINCT e, m FROM statement_month WHERE ceq IS NOT NULL AND ib IS NOT NULL AND txdi IS NOT NULL AND dv IS NOT NULL AND sale IS NOT NULL AND ni IS NOT NULL AND dp IS NOT NULL), r AS (SELECT e, m, max(meanest) AS x FROM c JOIN tickers USING (e, m) JOIN estimates USING (ticker, m) WHERE fpi = '0' GROUP BY e, m), l AS (SELECT e, m, {lag('x', 6)} AS v FROM r), stamped AS (SELECT e, m, v FROM l WHERE m % 12 = 5 AND v IS NOT NULL), {_held(12)}")
+    table_case("join__sfe_signal", "sfe_signal()", sm, f"{_SPINE}, c AS (SELECT DISTINCT e, m FROM statement_month WHERE month(datadate) = 12), j AS (SELECT c.e, c.m, medest, numest, u.prc FROM estimates x JOIN universe u ON u.ticker = x.ticker AND u.m + 3 = x.m JOIN c ON c.e = u.e AND c.m = x.m WHERE fpi = '1' AND month(statpers) = 3 AND fpedats > statpers + 90), q AS (SELECT *, quantile_cont(numest, 0.5) OVER (PARTITION BY m) AS med, min(numest) OVER (PARTITION BY m) AS lo, max(numest) OVER (PARTITION BY m) AS hi FROM j), stamped AS (SELECT e, m, max(medest / abs(prc)) AS v FROM q WHERE lo < hi AND NOT (med > lo AND med < hi AND med < numest) GROUP BY e, m), {_held(12)}")
+    table_case("event__earnings_streak_signal", "earnings_streak_signal()", [*u, "estimates_adjusted"], f"{_SPINE}, {_TICKERS}, a AS (SELECT ticker, {_month('anndats_act')} AS m, arg_max((actual - meanest) / price, anndats_act) AS x, max(anndats_act) AS d FROM estimates_adjusted WHERE fpi = '6' AND actual IS NOT NULL AND meanest IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2), b AS (SELECT *, lag(sign(x)) OVER (PARTITION BY ticker ORDER BY d) AS l FROM a), k AS (SELECT ticker, m, x, m AS stamp FROM b WHERE sign(x) = l), p AS (SELECT t.e, t.m, k.x, k.stamp FROM tickers t LEFT JOIN k ON t.ticker = k.ticker AND t.m = k.m), f AS (SELECT e, m, {so_far('last_value(x IGNORE NULLS)')} AS x, {so_far('last_value(stamp IGNORE NULLS)')} AS stamp FROM p), z AS (SELECT e, m, x AS v FROM f WHERE m - stamp <= 6)")
+    regular = "paid0 AS (SELECT e, m, sum(divamt) AS d, min(cd3) AS c FROM distributions WHERE cd1 = 1 AND cd2 = 2 GROUP BY e, m), flags AS (SELECT e, m, bool_or(shrcd IN (10, 11, 12) AND exchcd IN (1, 2, 3)) AS strict, max(prc) AS prc FROM stock_month GROUP BY e, m), g0 AS (SELECT s.e, s.m, coalesce(strict, false) AS strict, prc, d, c FROM spine s LEFT JOIN flags USING (e, m) LEFT JOIN paid0 USING (e, m)), grid AS (SELECT *, CASE WHEN strict THEN c END AS cs FROM g0), gc AS (SELECT *, " + so_far("last_value(cs IGNORE NULLS)") + " AS carried FROM grid)"
+    passes = ", ".join(f"NOT coalesce({lag('pd', k)} <= 0, false) AS p{k}" for k in (2, 5, 8, 11))
+    table_case("event__seasonal_dividend_indicator", "seasonal_dividend_indicator()", dt, f"{_SPINE}, {regular}, k AS (SELECT *, strict AND carried IS NOT NULL AND carried <> 2 AND carried < 6 AS keep FROM gc), s AS (SELECT *, CASE WHEN keep THEN CASE WHEN coalesce(d, 0) > 0 THEN 1.0 ELSE 0 END END AS pd, m BETWEEN min(CASE WHEN keep THEN m END) OVER (PARTITION BY e) AND max(CASE WHEN keep THEN m END) OVER (PARTITION BY e) AS inside FROM k), q AS (SELECT *, {passes}, {frame('sum(pd)', 11)} AS recent, CASE WHEN strict THEN carried END AS code FROM s), z AS (SELECT e, m, CASE WHEN inside THEN CASE WHEN (coalesce(code IN (0, 1, 3), false) AND (p2 OR p5 OR p8 OR p11)) OR (coalesce(code = 4, false) AND (p5 OR p11)) OR (coalesce(code = 5, false) AND p11) THEN 1 WHEN recent > 0 THEN 0 END END AS v FROM q)")
     # Results of more than one regressor or of long chains: held against numpy in the tests.
     for name, formula in {
         "join__abnormal_accruals_signal": "abnormal_accruals_signal()",
@@ -112,12 +126,7 @@ def _fill() -> None:
         "join__analyst_optimism_ratio": "analyst_optimism_ratio()",
         "join__predicted_forecast_error": "predicted_forecast_error(growth_rows=24)",
         "join__rd_ability_signal": "rd_ability_signal(years=5, min_pairs=3)",
-        "join__sum_scaled_revisions": "sum_scaled_revisions()",
-        "join__chforecast_accrual_signal": "chforecast_accrual_signal()",
-        "join__fgr5yr_lag_signal": "fgr5yr_lag_signal()",
-        "join__sfe_signal": "sfe_signal()",
-        "event__earnings_streak_signal": "earnings_streak_signal()",
-        "event__seasonal_dividend_indicator": "seasonal_dividend_indicator()",
+        "join__ms_signal": MS,
         "event__divyieldst_signal": "divyieldst_signal(D.divamt, D.distcd, C.prc)",
         "event__announcement_return_signal": "announcement_return_signal()",
         "regress__frontier_signal": "frontier_signal(A.at, A.ceq, A.dltt, A.capx, A.sale, A.xrd, A.xad, A.ppent, A.ebitda, C.mve_permco, industry48(C.sicCRSP))",
