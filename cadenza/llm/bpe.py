@@ -23,13 +23,14 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _UNSAFE = re.compile(r" (?:\s|\Z)").search
 #: Entries of the per-worker cache of words, dropped as a whole when full.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 60_000
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -56,9 +57,9 @@ class MergeReplay:
         self.token = {v: k for k, v in ranks.items()}
         self.text_of = {v: str(v) for v in self.token}
         #: (left id, right id) -> id of the joined token, for every split of every token.
-        self.joined = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.byte_pair = np.array([[self.joined.get((a, b), NO_PAIR) for b in self.byte_id.tolist()] for a in self.byte_id.tolist()])
-        self.by_left, self.by_right = _grouped(self.joined, 0), _grouped(self.joined, 1)
+        joined = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.byte_pair = np.array([[joined.get((a, b), NO_PAIR) for b in self.byte_id.tolist()] for a in self.byte_id.tolist()])
+        self.by_left, self.by_right = _grouped(joined, 0), _grouped(joined, 1)
         self.ids: dict[str, tuple[int, ...]] = {}  # word -> ids
         self.spaced: dict[str, tuple[int, ...]] = {}  # text after a space, up to the next -> ids, the space included
 
@@ -157,8 +158,9 @@ class MergeReplay:
     def _alone(self, word: bytes) -> tuple[int, ...]:
         """One word, its lowest pair first each time: for words in which merges uncover lower pairs."""
         ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        pair = lambda a, b: int(self._with_left(a, np.array([b]))[0])
         while len(ids) > 1:
-            r, i = min((self.joined.get(p, NO_PAIR), i) for i, p in enumerate(pairwise(ids)))
+            r, i = min((pair(*p), i) for i, p in enumerate(pairwise(ids)))
             if r == NO_PAIR:
                 break
             ids[i : i + 2] = [r]
@@ -229,21 +231,19 @@ def _coder(data: bytes, pattern: str) -> MergeReplay:
     return _LOADED[key]
 
 
-#: Characters of text that are replayed together.
-SLICE_CHARS = 6_000_000
+#: Bytes of text that are replayed together, about.
+SLICE_BYTES = 2_000_000
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    chars = 0
-    for t in texts:
-        part.append(t)
-        chars += len(t or "")
-        if chars >= SLICE_CHARS:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Consecutive texts of about SLICE_BYTES; only one slice at a time is turned into Python strings."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+        yield texts.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
         gc.disable()  # the caches hold millions of small tuples and no cycles
         for batch in batches:
             at = 0
-            for part in _slices(batch.column(1).to_pylist()):
+            for part in _slices(batch.column(1)):
                 made: dict[str, list] = {k: [] for k in outputs}
                 for ids in coder.encode_batch(part):
                     plain = coder.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
