@@ -81,19 +81,20 @@ def linear_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 1
 
     Rows are weighted so that both classes count alike.
     """
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    v = np.random.default_rng(0).normal(size=x.shape[1]).astype(x.dtype)
+    forward = lambda w: x @ w[:-1] + w[-1]
+    backward = lambda r: np.append(x.T @ r, r.sum())
+    v = np.random.default_rng(0).normal(size=x.shape[1] + 1).astype(x.dtype)
     for _ in range(12):  # largest curvature, by power iteration
         v /= np.linalg.norm(v)
-        v = x.T @ (weight * (x @ v))
+        v = backward(weight * forward(v))
     rate = 1 / (2 * np.linalg.norm(v) * 1.05 + ridge)
-    w = np.zeros(x.shape[1], x.dtype)
+    w = np.zeros(x.shape[1] + 1, x.dtype)
     last = w
     for k in range(steps):
         z = w + (k / (k + 3)) * (w - last)
-        slack = np.maximum(0, 1 - y * (x @ z))
-        grad = -2 * (x.T @ (weight * y * slack)) + ridge * np.append(z[:-1], 0)
+        slack = np.maximum(0, 1 - y * forward(z))
+        grad = -2 * backward((weight * y * slack).astype(x.dtype)) + ridge * np.append(z[:-1], 0)
         last, w = w, (z - rate * grad).astype(x.dtype)
     return w
 
@@ -114,7 +115,7 @@ class Model:
         if not langs:
             return cls([], [], [], np.zeros((BUCKETS + 1, 0)))
         scale = 1 / np.sqrt(np.maximum(x.mean(axis=0), 1 / BUCKETS / 50))
-        x = x * scale
+        x *= scale.astype(x.dtype)  # in place: the caller's rows are not needed again
         names = np.array(y)
         kin = np.array([family_of(a) for a in y])
         columns = [linear_svm(x, np.where(kin == f, 1, -1)) for f in families] if len(families) > 1 else [np.zeros(BUCKETS + 1)]
@@ -187,8 +188,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     kind = narrow.schema["id"].dataType.simpleString()
     rows = sorted(_sampled(narrow, sample).mapInArrow(describe, f"id {kind}, lang string, x binary").limit(2 * sample).collect(), key=lambda r: (r["id"], r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, BUCKETS), np.float32)
-    return Model.fit(x, [r["lang"] for r in rows])
+    langs = [r["lang"] for r in rows]
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for k in range(len(rows)):
+        x[k], rows[k] = np.frombuffer(rows[k]["x"], np.float32), None
+    return Model.fit(x, langs)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
