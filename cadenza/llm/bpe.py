@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 _UNSAFE = re.compile(r" (?:\s|\Z)").search
 #: Entries of the per-worker cache of words, dropped as a whole when full.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 200_000
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -232,7 +232,7 @@ def _coder(data: bytes, pattern: str) -> MergeReplay:
 
 
 #: Bytes of text that are replayed together, about.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 8_000_000
 
 
 def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
