@@ -2,8 +2,8 @@
 
 Every layer of a text is scanned with the same three patterns.  From each layer, encoded stretches are unwrapped into
 new layers: percent escapes and Unicode or hex escapes (rewritten in place, so the layer keeps its surroundings),
-base64 and hex-free compressed payloads (a layer of their own).  A layer that was seen before is not entered again, so
-the worklist ends at a fixpoint.  Each layer carries, for each of its characters, the stretch of the original text that
+base64 and hex-free compressed payloads (a layer of their own).  A layer that was seen before, with the same text from
+the same places, is not entered again, so the worklist ends at a fixpoint; equal texts from other places are.  Each layer carries, for each of its characters, the stretch of the original text that
 it came from; a finding in any layer is reported at the original stretch.
 
 Defined cases: null text counts as empty; an empty text has no findings; equal findings of several layers count once;
@@ -61,6 +61,10 @@ class Layer:
             return a, b
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
+    def key(self) -> tuple[str, bytes]:
+        """The text and a digest of the places it came from."""
+        return self.text, hashlib.blake2b(b"" if self.start is None else self.start.tobytes() + self.end.tobytes(), digest_size=16).digest()
+
 
 def _rewritten(layer: Layer, parts: list[tuple[int, int, str, list[int] | None]]) -> Layer:
     """``layer`` with stretches replaced: (from, to, new text, width in the old text of each new character or None)."""
@@ -165,17 +169,17 @@ def find(text: str) -> tuple[list[Finding], list[Finding], int]:
     """Base findings, all findings (base ones included, each once) and the number of layers that the guard cut."""
     base = sorted(scan(text))
     every = set(base)
-    seen = {text}
     work = [Layer(text)]
+    seen = {work[0].key()}
     n_cut = 0
     while work:
         layer = work.pop()
         fresh = [(x, False) for x in (_unquoted(layer) if "%" in layer.text else None, _unescaped(layer) if "\\" in layer.text or "&#" in layer.text else None) if x is not None]
         for new, cut in [*fresh, *_payloads(layer)]:
             n_cut += cut
-            if new.text in seen:
+            if (key := new.key()) in seen:
                 continue
-            seen.add(new.text)
+            seen.add(key)
             work.append(new)
             for a, kind, b in scan(new.text):
                 start, end = new.origin(a, b)

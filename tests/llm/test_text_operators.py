@@ -220,6 +220,15 @@ def test_decoding_ends_where_layers_repeat():
     assert secrets.find("")[1] == []
 
 
+def test_every_copy_of_an_encoded_secret_is_reported():
+    secret = b"password = Zq8xT2mLw0RbVtY7"
+    for payload in (base64.b64encode(secret), base64.b64encode(gzip.compress(secret)), base64.b64encode(base64.b64encode(secret))):
+        once = payload.decode()
+        found = secrets.find(f"a {once} b {once}\n{once}")[1]
+        starts = [2 + k * (len(once) + 3) for k in (0, 1)] + [2 + 2 * len(once) + 4]
+        assert len(found) == 3 and all(p <= a < b <= p + len(once) for p, (a, _, b) in zip(starts, found, strict=True))
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(150, 32))
