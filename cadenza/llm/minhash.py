@@ -7,7 +7,9 @@ corrected for chance collisions.  Pairs whose estimate is ``SIGMAS`` standard de
 followed up; all others are confirmed on the full shingle sets.
 
 Documents with equal sets form a class, and only its first document goes on.  Candidates form groups (connected by
-estimates); a group's sets are brought together in blocks of ``BLOCK`` documents, each with the same ``LEADERS`` of the
+estimates): pairs of a bucket meet within blocks of ``BLOCK`` documents first, which connects most of a large bucket;
+then, in buckets of several blocks, members of different groups meet across all blocks, pair of blocks by pair of blocks,
+so that no pair of a bucket is left out whose members are not connected anyway.  A group's sets are brought together in blocks of ``BLOCK`` documents, each with the same ``LEADERS`` of the
 group, so work and memory of a task are bounded however large a group is.  Within a block, exact comparison goes on
 until every candidate pair is linked, connected through other links, or refuted.  Groups of several blocks that have
 not become one component are then compared across blocks, candidate pair by candidate pair.
@@ -41,6 +43,8 @@ BITS = 4
 SIGMAS = 4.0
 BLOCK = 192
 LEADERS = 8
+#: Blocks of BLOCK documents that make up one side of a unit where members of different groups meet.
+SIDE = 4
 CACHE_WORDS = 100_000
 #: Rows of buckets that are compared in one call, on average.
 ROWS_PER_CALL = 600
@@ -198,7 +202,69 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return spots.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
 
 
-def _candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+def _grouped(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (rep, g): g is the least member of the group that pairs of a bucket with a sufficient estimate connect."""
+    found = components(_within_blocks(buckets, reps)).select(F.col("node").alias("rep"), F.col("component").alias("g"))
+    large = buckets.where("blocks > 1").select("rep", "bucket")
+    if not large.limit(1).count():
+        return found
+    found = materialize(found, "minhash-parts-of-blocks")
+    placed = large.join(found, "rep", "left").select("rep", "bucket", F.coalesce("g", "rep").alias("part"))
+    # From here on a group is one node, so edges are few.
+    merged = components(_between_groups(materialize(placed, "minhash-large"), reps)).withColumnRenamed("node", "part")
+    every = found.union(merged.select("part", "part")).distinct()
+    return every.join(merged, F.col("g") == F.col("part"), "left").select("rep", F.coalesce("component", "g").alias("g"))
+
+
+def _between_groups(spots: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) of the parts of a bucket that hold a pair with a sufficient estimate: a forest for each unit.
+
+    Members of a bucket's largest part, and all others, are cut into blocks.  A unit holds two blocks, of which one at
+    least is of the others; every pair of such blocks is a unit.
+    """
+    side = SIDE * BLOCK
+    shares = spots.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    most = shares.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"), F.max("n").alias("n_main")).where("n_rest > 0")
+    most = most.select("bucket", "main", F.ceil(F.col("n_main") / side).cast("int").alias("mains"), F.ceil(F.col("n_rest") / side).cast("int").alias("rests"))
+    rows = spots.join(most, "bucket").withColumn("in_main", F.col("part") == F.col("main"))
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("own", own)
+    rests = F.sequence(F.lit(0), F.col("rests") - 1)
+
+    def unit(x, y, right):
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), right.alias("right"))
+
+    # x counts blocks of the largest part from 0 on, and blocks of the others from -1 down.
+    of_main = F.transform(rests, lambda j: unit(F.col("own"), j, F.lit(False)))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: unit(m, F.col("own"), F.lit(True))),
+        F.transform(rests, lambda j: unit(-1 - F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.col("own") > j)),
+    )
+    rows = rows.select("rep", "part", "bucket", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("u"))
+    rows = rows.select("rep", "part", "bucket", "u.x", "u.y", "u.right").join(reps.select("rep", "sig"), "rep")
+
+    def forest(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["right", "rep"])
+        rep, part, right = df["rep"].to_numpy(), df["part"].to_numpy(), df["right"].to_numpy(bool)
+        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
+        least, n_left = least_estimate(), int((~right).sum())
+        whole = df["x"].iloc[0] < 0 and -1 - df["x"].iloc[0] == df["y"].iloc[0]  # one block with itself
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(n_left):
+            first = k + 1 if whole else n_left
+            near = np.flatnonzero((part[first:] != part[k]) & (estimates(sigs[k], sigs[first:]) >= least)) + first
+            i.append(np.full(len(near), k))
+            j.append(near)
+        parts, of = np.unique(part, return_inverse=True)
+        root = least_rows(len(parts), of[np.concatenate(i)], of[np.concatenate(j)])
+        own = np.flatnonzero(root != np.arange(len(parts)))
+        return pd.DataFrame({"a": parts[own], "b": parts[root[own]]})
+
+    found = rows.groupBy("bucket", "x", "y").applyInPandas(forest, "a bigint, b bigint")
+    return materialize(found.distinct(), "minhash-between")
+
+
+def _within_blocks(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges (a, b): a spanning forest, in each block of each bucket, of the pairs with a sufficient estimate.
 
     The block of a document differs from bucket to bucket, so large buckets that share their members mix.
@@ -264,7 +330,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed edges (a, b) that connect whatever confirmed pairs connect."""
     buckets = materialize(_buckets(reps), "minhash-buckets")
-    grouped = components(_candidates(buckets, reps)).withColumnRenamed("node", "rep").withColumnRenamed("component", "g")
+    grouped = _grouped(buckets, reps)
     sizes = grouped.groupBy("g").agg(F.count("*").alias("size"))
     members = grouped.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")

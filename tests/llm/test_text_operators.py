@@ -384,6 +384,21 @@ def test_minhash_components_equal_brute_force(spark, monkeypatch, block):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pairs_of_a_large_bucket_meet_whatever_their_block(spark, monkeypatch):
+    """Close pairs that share one bucket, and nothing else, with each other and with unlike texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(20):
+        common = say(80)
+        rows += [(len(rows) + k, " ".join(common + say(4))) for k in range(2)] + [(len(rows) + 2, " ".join(say(80)))]
+    texts = docs(spark, rows, extra=False).select(F.col("doc_id").alias("id"), "text")
+    reps = minhash.describe(texts).select(F.col("id").alias("rep"), "key", "n_shingles", F.expr("array(1L)").alias("bands"), "sig").cache()
+    got = {tuple(sorted((r["a"], r["b"]))) for r in minhash._links(reps, texts).collect()}
+    assert got == {(3 * k, 3 * k + 1) for k in range(20)}
+
+
 def test_bit_estimates_follow_the_similarity():
     rng = np.random.default_rng(12)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
