@@ -89,10 +89,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = placed.join(F.broadcast(seeds), F.col("dseed") == F.col("seed"))
     else:
         met = placed.drop("own").join(seeds.drop("other"), F.col("dseed") == F.col("seed"))
-        # One hit for each diagonal of a document and an item is enough here.
-        met = met.groupBy("id", "item", (F.col("at") - F.col("other_at")).alias("diagonal")).agg(F.min("at").alias("at"), F.min("other_at").alias("other_at"))
+        # One row for each diagonal of a document and an item carries the texts; every hit on it is verified.
+        met = met.groupBy("id", "item", (F.col("at") - F.col("other_at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
         met = met.join(items, "item")
-        hits = met.join(hashed.withColumnRenamed("id", "hid"), F.col("id") == F.col("hid"))
+        met = met.join(hashed.withColumnRenamed("id", "hid"), F.col("id") == F.col("hid"))
+        hits = met.withColumn("at", F.explode("ats")).withColumn("other_at", F.col("at") - F.col("diagonal"))
     judged = hits.select("id", "item", _agreement(F.col("own"), F.col("other"), F.col("at"), F.col("other_at"), width).alias("a"), width.alias("width"))
     sure = judged.where((F.col("a.equal") >= share * F.col("a.compared")) & (F.col("a.compared") >= F.col("width")))
     per_item = sure.groupBy("id", "item").agg(F.max(F.col("a.equal") / F.col("a.compared")).alias("best"))

@@ -290,6 +290,16 @@ def test_contamination_equals_brute_force(spark):
     assert not decontaminate.contamination(docs(spark, rows), bench.limit(0)).where("contaminated").count()
 
 
+def test_later_part_of_an_item_is_found_by_the_shuffled_way(spark, monkeypatch):
+    item = [f"i{k}" for k in range(80)]
+    rows = [(1, " ".join([*(f"a{k}" for k in range(30)), *item[30:70], *(f"b{k}" for k in range(30))])), (2, " ".join(item[20:])), (3, "nothing")]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id BIGINT, text STRING")
+    small = sorted(map(tuple, decontaminate.contamination(docs(spark, rows), bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontaminate.contamination(docs(spark, rows), bench).collect())) == small
+    assert [r[3] for r in small] == ["7", "7", ""] and small[0][4] == 1.0
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(9)
     plain, bad = [f"word{k}" for k in range(300)], ["grobbel", "snarkit", "blurgh"]
