@@ -2,7 +2,7 @@
 
 Every layer of a text is scanned with the same three patterns.  From each layer, encoded stretches are unwrapped into
 new layers: percent escapes and Unicode or hex escapes (rewritten in place, so the layer keeps its surroundings),
-base64 and hex-free compressed payloads (a layer of their own).  A layer that was seen before, with the same text from
+base64, also over several lines and at all four alignments, and compressed streams in it (a layer of their own each).  A layer that was seen before, with the same text from
 the same places, is not entered again, so the worklist ends at a fixpoint; equal texts from other places are.  Each layer carries, for each of its characters, the stretch of the original text that
 it came from; a finding in any layer is reported at the original stretch.
 
@@ -35,7 +35,11 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PRINTABLE = re.compile(r"[\x09\x0a\x0d\x20-\x7e\u00a0-\U0010ffff]*")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Base64 over several lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Where gzip, zstd and zlib streams begin.
+_MAGIC = re.compile(rb"(?=\x1f\x8b\x08|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])")
 
 Finding = tuple[int, int, int]  # start, kind, end
 
@@ -115,54 +119,111 @@ def _unescaped(layer: Layer) -> Layer | None:
     return _rewritten(layer, parts) if parts else None
 
 
-def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
-    """Content of a gzip, zlib or zstd payload and whether the guard cut it."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        unpack = zlib.decompressobj(47)
-        try:
-            out = unpack.decompress(raw, MAX_INFLATED)
-        except zlib.error:
-            return None
-        return out, bool(unpack.unconsumed_tail)
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
+def _inflated(raw: bytes, start: int) -> tuple[bytes, int | None, bool] | None:
+    """Content of the gzip, zlib or zstd stream at ``start``, with the gzip members that follow it: what can be read of
+    it, where it ends (None: it is damaged or cut off) and whether the guard cut it.  None if nothing can be read.
+    """
+    if raw[start : start + 4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
+        out, end, size = [], None, 0
         try:
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(MAX_INFLATED)
-                return out, bool(reader.read(1))
-        except zstandard.ZstdError:
-            return None
-    return None
-
-
-def _payloads(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """Layers from base64 stretches: readable text, or the readable content of a compressed payload."""
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").translate({45: 43, 95: 47})
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        cut, exact = False, True
-        for _ in range(64):
-            if (inner := _inflated(raw)) is None:
-                break
-            raw, more = inner
-            cut, exact = cut or more, False
+            with zstandard.ZstdDecompressor().stream_reader(raw[start:], read_across_frames=True) as reader:
+                while size < MAX_INFLATED and (got := reader.read(min(1 << 16, MAX_INFLATED - size))):
+                    out.append(got)
+                    size += len(got)
+                return b"".join(out), len(raw), size >= MAX_INFLATED and bool(reader.read(1))
+        except zstandard.ZstdError:  # what came before the damage counts
+            pass
+        return (b"".join(out), end, False) if out else None
+    out, size, at = [], 0, start
+    while True:
+        unpack = zlib.decompressobj(47)
         try:
-            new = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not new or not _PRINTABLE.fullmatch(new):
-            continue
-        if exact:  # each byte comes from two of the encoded characters
-            size = np.array([len(c.encode("utf-8")) for c in new])
-            stop = np.cumsum(size)
-            first, last = (stop - size) * 8 // 6, ((stop * 8) - 1) // 6
-        else:
-            first, last = np.zeros(len(new), np.int64), np.full(len(new), len(m[0]) - 1)
-        own_s = layer.start if layer.start is not None else np.arange(len(layer.text))
-        own_e = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
-        yield Layer(new, own_s[m.start() + first], own_e[m.start() + last]), cut
+            # In small steps: what came before a damage counts.
+            for k in range(at, len(raw), 4096):
+                got = unpack.decompress(raw[k : k + 4096], MAX_INFLATED - size + 1)
+                out.append(got[: MAX_INFLATED - size])
+                size += len(got)
+                if size > MAX_INFLATED:
+                    return b"".join(out), None, True
+                if unpack.eof:
+                    break
+        except zlib.error:
+            break
+        if not unpack.eof:
+            break
+        at = min(k + 4096, len(raw)) - len(unpack.unused_data)
+        more = raw[at:].lstrip(b"\0")
+        if not more.startswith(b"\x1f\x8b\x08"):
+            return b"".join(out), at, False
+        at = len(raw) - len(more)
+    return (b"".join(out), None, False) if size else None
+
+
+def _begins(raw: bytes, at: int) -> bool:
+    """Whether a header is at ``at``; that of zlib is checked by its remainder."""
+    return raw[at] in b"\x1f\x28" and raw[at + 1] in b"\x8b\xb5" or (raw[at] << 8 | raw[at + 1]) % 31 == 0 and not raw[at + 1] & 0x20
+
+
+def _streams(raw: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    """(start, content, cut) of the compressed streams anywhere in ``raw``."""
+    done = 0
+    for m in _MAGIC.finditer(raw):
+        if m.start() >= done and _begins(raw, m.start()) and (found := _inflated(raw, m.start())):
+            content, end, cut = found
+            done = end or done  # only a stream that is whole proves that what lies in it is no stream of its own
+            yield m.start(), content, cut
+
+
+def _idle(text: str) -> bool:
+    """Whether a layer holds neither findings nor anything to unwrap."""
+    return not (scan(text) or _URL.search(text) or _ESCAPE.search(text) or _BASE64.search(text))
+
+
+def _stretches(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Base64 stretches, without line breaks: characters, their places, and the end including the padding."""
+    for m in _BASE64.finditer(text):
+        yield m[0].rstrip("="), np.arange(m.start(), m.end()), m.end()
+    for m in _WRAPPED.finditer(text):
+        body = "".join(m[0].rstrip("=").split())
+        if len(body) >= 16:
+            places = [np.arange(p.start(), p.end()) + m.start() for p in _LINE.finditer(m[0])]
+            yield body, np.concatenate(places), m.end()
+
+
+def _payloads(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+    """Layers from base64 stretches, and of the compressed streams in them, and whether the guard cut a stream.
+
+    A payload may begin anywhere in a stretch, so all four alignments are decoded.  All that is sought is ASCII, so
+    bytes are read as Latin-1, whatever they are.  Layers that hold nothing are left out.
+    """
+    own_s = layer.start if layer.start is not None else np.arange(len(layer.text))
+    own_e = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
+    for stretch, places, stop in _stretches(layer.text):
+        stretch = stretch.translate({45: 43, 95: 47})
+        for shift in range(min(4, len(stretch))):
+            body = stretch[shift:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            new = raw.decode("latin-1")
+            if not _idle(new):  # each byte comes from two of the encoded characters
+                at = np.arange(len(new)) * 8
+                yield Layer(new, own_s[places[shift + at // 6]], own_e[places[shift + (at + 7) // 6]]), False
+            work, met = [(None, raw)], {hashlib.sha256(raw).digest()}
+            while work:
+                place, outer = work.pop()
+                for start, content, cut in _streams(outer):
+                    first = places[shift + start * 8 // 6] if place is None else place
+                    digest = hashlib.sha256(content).digest()
+                    fresh = digest not in met
+                    met.add(digest)
+                    if fresh:
+                        work.append((first, content))
+                    new = content.decode("latin-1")
+                    found = None if _idle(new) else Layer(new, np.full(len(new), own_s[first : stop].min()), np.full(len(new), own_e[first : stop].max()))
+                    if found or cut:
+                        yield found, cut
 
 
 def find(text: str) -> tuple[list[Finding], list[Finding], int]:
@@ -177,6 +238,8 @@ def find(text: str) -> tuple[list[Finding], list[Finding], int]:
         fresh = [(x, False) for x in (_unquoted(layer) if "%" in layer.text else None, _unescaped(layer) if "\\" in layer.text or "&#" in layer.text else None) if x is not None]
         for new, cut in [*fresh, *_payloads(layer)]:
             n_cut += cut
+            if new is None:
+                continue
             if (key := new.key()) in seen:
                 continue
             seen.add(key)

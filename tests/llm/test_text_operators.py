@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -224,11 +225,36 @@ def test_every_copy_of_an_encoded_secret_is_reported():
     secret = b"password = Zq8xT2mLw0RbVtY7"
     for payload in (base64.b64encode(secret), base64.b64encode(gzip.compress(secret)), base64.b64encode(base64.b64encode(secret))):
         once = payload.decode()
-        found = secrets.find(f"a {once} b {once}\n{once}")[1]
-        starts = [2 + k * (len(once) + 3) for k in (0, 1)] + [2 + 2 * len(once) + 4]
+        found = secrets.find(f"a {once} b {once}\n\n{once}")[1]
+        starts = [2 + k * (len(once) + 3) for k in (0, 1)] + [2 + 2 * len(once) + 5]
         assert len(found) == 3 and all(p <= a < b <= p + len(once) for p, (a, _, b) in zip(starts, found, strict=True))
 
 
+def test_encoded_secrets_are_found_whatever_surrounds_them():
+    secret = b"password = Zq8xT2mLw0RbVtY7"
+    code = lambda b: base64.b64encode(b).decode()
+    filler = bytes(random.Random(1).choices(b"abcdefgh ,", k=600))
+    deep = secret
+    for _ in range(70):
+        deep = gzip.compress(deep)
+    texts = [code(junk + secret + b" ") for junk in (b"\x00", b"\x1b[0m", b"\x0c", b"\x7f", b"\xe9 ")]
+    texts += ["x" * k + "/" + code(body + b" ") for k in range(4) for body in (secret, gzip.compress(secret), zlib.compress(secret))]
+    for newline in ("\n", "\r\n", "\n  "):
+        for body in (filler + secret, gzip.compress(filler + secret), secret):
+            for width in (76, 12):
+                whole = code(body)
+                texts.append("data: " + newline.join(whole[k : k + width] for k in range(0, len(whole), width)) + " end")
+    texts += [code(gzip.compress(b"nothing ") + gzip.compress(secret)), code(deep), code(gzip.compress(secret + b" \xff\x00"))]
+    for text in texts:
+        assert any(k == 0 and 0 <= a < b <= len(text) for a, k, b in secrets.find(text)[1]), text
+    assert secrets.find("a " + code(secret) + " b")[1] == [(2, 0, 2 + len(code(secret)))]
+
+
+def test_cut_layers_are_counted_whatever_they_hold(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_INFLATED", 100)
+    assert secrets.find(base64.b64encode(gzip.compress(b"\x00" * 5000)).decode())[2] == 1
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(150, 32))
