@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,22 +67,26 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _r(spark, sf_dir)
     d = F.broadcast(prepare.dates(r))
     w = F.when(F.col("stock") % 2 == 0, 1.0).otherwise(-1.0)
-    rows = r.join(d, "date").where((F.col("t") % 3 == 0) & (F.col("stock") % 5 == 0)).select("date", "stock", w.alias("w"))
+    rows = r.join(d, "date").where(F.col("t") % 3 == 0).select("date", "stock", w.alias("w"))
     from pyspark.sql import Window as W
 
     return rows.select("date", "stock", (F.col("w") / F.count("*").over(W.partitionBy("date"))).alias("w"))
 
 
 def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank features, ridge fitted on the first 36 dates, scores of the next twelve."""
+    """Rank features; in every window a ridge is fitted on 36 dates and scores the next twelve."""
     r = _r(spark, sf_dir)
     ranked = prepare.rank_transform(prepare.fill_median_by_date(factors(spark, sf_dir)))
     label = prepare.future_spread(r, 1, 1)
-    role = prepare.windows(r, 36, 12, 12).where("window = 0")
+    role = prepare.windows(r, 36, 12, 12)
     wide = prepare.training_rows(ranked, label, NAMES)
-    model = models.Ridge(1.0).fit(wide.join(role.where("role = 'train'"), "date"), NAMES)
-    scored = model.predict(wide.join(role.where("role = 'test'").select("date"), "date"))
-    return scored.select("date", "stock", "score")
+    wide = wide.join(F.broadcast(role), "date")
+    scored = []
+    for (k,) in sorted(role.select("window").distinct().collect()):
+        own = wide.where(F.col("window") == k)
+        model = models.Ridge(1.0).fit(own.where("role = 'train'"), NAMES)
+        scored.append(model.predict(own.where("role = 'test'")).select("date", "stock", "score"))
+    return reduce(DataFrame.unionByName, scored)
 
 
 Query = Callable[[SparkSession, str], DataFrame]

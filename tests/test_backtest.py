@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza import validation
 from cadenza.backtest import models, portfolio, prepare
+from cadenza.oracles import evaluation
 from cadenza.plans import manifest
 from cadenza.plans.compiler import Library
 from cadenza.plans.expr import V, parse
@@ -125,3 +126,17 @@ def test_incremental_build_skips_what_has_not_changed(spark, tmp_path):
     assert first["P"] == "built" and first["bad"].startswith("failed")
     assert manifest.build(*args, log=lambda x: None)["P"] == "current"
     assert sorted(r["value"] for r in manifest.read_factors(spark, str(tmp_path / "out")).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_queries_take_every_stock_and_every_window(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(day(t), s, *map(float, rng.normal(size=4) * 0.05)) for t in range(63) for s in range(1, 9)]
+    table = spark.createDataFrame(rows, "date DATE, stock BIGINT, ret DOUBLE, mve_c DOUBLE, prc DOUBLE, vol DOUBLE").cache()
+    monkeypatch.setattr(evaluation, "returns", lambda s, d: table)
+    ret = {(r[0], r[1]): r[2] for r in rows}
+    got = {(r["date"], r["stock"]): r["w"] for r in evaluation._book(spark, "").collect()}
+    assert got == {(day(t), s): (1 if s % 2 == 0 else -1) / 8 for t in range(0, 63, 3) for s in range(1, 9)}
+    gross = {r["date"]: r["gross"] for r in evaluation.QUERIES["bt__accounting"](spark, "").collect()}
+    assert len(gross) == 63 and gross[str(day(0))] == pytest.approx(sum((1 if s % 2 == 0 else -1) / 8 * ret[day(0), s] for s in range(1, 9)), abs=1e-5)
+    dates = {r["date"] for r in evaluation._ridge(spark, "").select("date").distinct().collect()}
+    assert dates == {day(t) for t in range(36, 62)}  # the last date has no label
