@@ -63,3 +63,11 @@ def nearest_quantile(ordered: Column, q: float) -> Column:
 
 def lower_quantile(ordered: Column, q: float) -> Column:
     return F.get(ordered, F.floor(F.lit(q) * (F.size(ordered) - 1)).cast("int"))
+
+
+def ranked_quantile(ordered: Column, q: float) -> Column:
+    """First element of an ascending array whose rank exceeds q n; midway to the one before where q n is whole."""
+    n, p = F.size(ordered), F.lit(q) * F.size(ordered)
+    whole = F.floor(p + F.lit(1e-12)).cast("int")
+    exact = (F.abs(p - whole) < 1e-12) & (whole >= 1) & (whole < n)
+    return F.when(exact, (F.get(ordered, whole - 1) + F.get(ordered, whole)) / 2).when(n > 0, F.get(ordered, F.least(whole, n - 1)))

@@ -230,7 +230,8 @@ def intangible_residual(s: Stage, measure: Column, ret: Column) -> Column:
 def piotroski_score(s: Stage, fopt: Column, oancf: Column, ib: Column, at: Column, dltt: Column, act: Column, lct: Column, txt: Column, xint: Column, sale: Column, ceq: Column, mve: Column, shrout: Column) -> Column:
     """Nine binary signals, for the top quintile of book to market; missing or infinite metrics count as +inf."""
     raw = {"fopt": fopt, "oancf": oancf, "ib": ib, "at": at, "dltt": dltt, "act": act, "lct": lct, "txt": txt, "xint": xint, "sale": sale, "ceq": ceq, "mve": mve, "shrout": shrout}
-    u = {k: s.let(F.when(F.col("strict"), v), k) for k, v in raw.items()}
+    rows = s.let(F.col("strict") & F.col("compustat") & F.col("listed"), "rows")
+    u = {k: s.let(F.when(rows, v), k) for k, v in raw.items()}
     cash = s.let(F.coalesce(u["fopt"], u["oancf"]))
     ebit = s.let(u["ib"] + u["txt"] + u["xint"])
     change = lambda x: s.delta(s.let(x), 12)
@@ -248,11 +249,11 @@ def piotroski_score(s: Stage, fopt: Column, oancf: Column, ib: Column, at: Colum
         or_infinite(clean(s.lag(u["shrout"], 12) - u["shrout"])) >= 0,
     ]
     score = sum((indicator(x) for x in signals[1:]), indicator(signals[0]))
-    needed = [cash, u["ib"], u["at"], u["dltt"], u["act"], u["lct"], u["sale"], u["shrout"]]
+    needed = [cash, u["ib"], u["at"], u["dltt"], u["act"], ebit, u["sale"], u["shrout"]]
     present = needed[0].isNotNull()
     for x in needed[1:]:
         present = present & x.isNotNull()
-    top = qcut_bin(s, s.let(ieee.ln(div(u["ceq"], u["mve"]))), 5) == 5
+    top = qcut_bin(s, s.let(finite(ieee.ln(div(F.when(u["ceq"] > 0, u["ceq"]), u["mve"])))), 5) == 5
     return keep_if(score, present & top)
 
 

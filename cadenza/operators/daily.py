@@ -8,6 +8,7 @@ operator, is never pivoted, and gets the common series by a broadcast whose size
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -17,8 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import ieee
-from cadenza.functions.ieee import clean, div
-from cadenza.operators.regression import moment_columns, rolling_coefficients, solve_moments, with_coefficients
+from cadenza.functions.bins import ranked_quantile
+from cadenza.functions.ieee import clean, div, finite
+from cadenza.operators.regression import moment_columns, rolling_coefficients, solve_moments, unfolded, with_coefficients
 from cadenza.operators.registry import operator
 from cadenza.operators.relational import as_value, first_by, hold, month_number
 from cadenza.plans.stage import Stage
@@ -177,26 +179,21 @@ def price_delay(s: Stage, *children: Column, stat: str) -> Column:
             coef, rss, n = solve_moments(m, 5, 26)
             one = part[[f"m_{i}_{j}" for i in (0, 1, 6) for j in (0, 1, 6) if i <= j]].to_numpy(float)
             _, rss1, _ = solve_moments(one, 1, 26)
-            full = np.zeros((len(part), 7, 7))
-            for k, (i, j) in enumerate(pairs):
-                full[:, i, j] = full[:, j, i] = m[:, k]
+            full = unfolded(m, 7)
             value = np.full(len(part), np.nan)
-            for r in range(len(part)):
-                if not np.isfinite(coef[r]).all():
-                    continue
-                mean = full[r, 0, 1:] / n[r]
-                c = full[r, 1:, 1:] - n[r] * np.outer(mean, mean)
-                b = coef[r, 1:]
-                if stat == "slope":
-                    weight = b
-                elif stat == "tstat":
-                    weight = b / np.sqrt(np.diag(np.linalg.inv(c[:5, :5])) * rss[r] / (n[r] - 6))
+            good = np.flatnonzero(np.isfinite(coef).all(axis=1))
+            with np.errstate(all="ignore"):
+                mean = full[good, 0, 1:] / n[good, None]
+                c = full[good, 1:, 1:] - n[good, None, None] * mean[:, :, None] * mean[:, None, :]
+                weight = coef[good, 1:]
+                if stat == "tstat":
+                    scale = np.sqrt(np.einsum("rii->ri", c[:, :5, :5]))
+                    inverse = np.linalg.inv(c[:, :5, :5] / (scale[:, :, None] * scale[:, None, :]))
+                    weight = weight / np.sqrt(np.einsum("rii->ri", inverse) / scale**2 * (rss[good] / (n[good] - 6))[:, None])
+                if stat in ("slope", "tstat"):
+                    value[good] = (np.arange(5) * weight).sum(axis=1) / weight.sum(axis=1)
                 else:
-                    with np.errstate(all="ignore"):
-                        value[r] = 1 - (1 - rss1[r] / c[5, 5]) / (1 - rss[r] / c[5, 5])
-                    continue
-                with np.errstate(all="ignore"):
-                    value[r] = (np.arange(5) * weight).sum() / weight.sum()
+                    value[good] = 1 - (1 - rss1[good] / c[:, 5, 5]) / (1 - rss[good] / c[:, 5, 5])
             yield pd.DataFrame({"e": part["e"], "m": part["bucket"] * 12 + 6, "value": value})
 
     values = moments.mapInPandas(solve, "e bigint, m int, value double").where("NOT isnan(value)")
@@ -238,22 +235,37 @@ def coskew_signal(s: Stage, *children: Column, variant: str) -> Column:
     return s.attach(values.join(F.broadcast(most), "m").where(F.col("most") - F.col("n") <= 5).select("e", "m", "value"))
 
 
+def trailing_sums(rows: DataFrame, terms: dict[str, Column], order: str, windows: dict[str, int]) -> DataFrame:
+    """Adds, for each term and window, the sum over an entity's last rows: a running sum less an earlier one.
+
+    Missing terms count as 0.  Work does not grow with the windows, as it would with sliding frames.
+    """
+    along = W.partitionBy("e").orderBy(order)
+    so_far = along.rowsBetween(W.unboundedPreceding, 0)
+    running = rows.select("*", *(F.sum(F.coalesce(t, F.lit(0.0))).over(so_far).alias(f"_{n}") for n, t in terms.items()))
+    past = lambda n, w: F.coalesce(F.lag(f"_{n}", w).over(along), F.lit(0.0))
+    return running.select("*", *((F.col(f"_{n}") - past(n, w)).alias(f"{n}_{k}") for n in terms for k, w in windows.items())).drop(*(f"_{n}" for n in terms))
+
+
 @operator
 def betafp_signal(s: Stage, *children: Column) -> Column:
     """Correlation of three-day log returns over 1260 rows times the ratio of yearly volatilities."""
     rows = with_factors(s, days(s)).select("e", "m", "d", ieee.finite(ieee.log1p(F.col("ret"))).alias("y"), ieee.finite(ieee.log1p(F.col("mktrf"))).alias("x"))
     along = W.partitionBy("e").orderBy("d")
     three = lambda c: F.col(c) + F.lag(c, 1).over(along) + F.lag(c, 2).over(along)
-    rows = rows.withColumn("y3", three("y")).withColumn("x3", three("x")).withColumn("xy3", F.col("y3") * F.col("x3"))
-    frame = lambda n: along.rowsBetween(-(n - 1), 0)
-
-    def gated(fn: Any, c: str, n: int, least: int) -> Column:
-        return F.when(F.count(c).over(frame(n)) >= least, fn(c).over(frame(n)))
-
-    mean = lambda c: gated(F.avg, c, 1260, 500)
-    sd = lambda c, n, k: gated(F.stddev_samp, c, n, k)
-    correlation = div(mean("xy3") - mean("x3") * mean("y3"), sd("x3", 1260, 500) * sd("y3", 1260, 500))
-    value = F.abs(correlation) * div(sd("y", 252, 120), sd("x", 252, 120))
+    rows = rows.withColumn("y3", three("y")).withColumn("x3", three("x")).withColumn("xy", F.col("y3") * F.col("x3"))
+    terms = {}
+    for c in ("y", "x", "y3", "x3", "xy"):
+        terms |= {f"n{c}": F.col(c).isNotNull().cast("double"), f"s{c}": F.col(c), f"q{c}": F.col(c) * F.col(c)}
+    rows = trailing_sums(rows, terms, "d", {"year": 252, "long": 1260})
+    mean = lambda c: F.when(F.col(f"n{c}_long") >= 500, F.col(f"s{c}_long") / F.col(f"n{c}_long"))
+
+    def sd(c: str, window: str, least: int) -> Column:
+        n, total, squares = (F.col(f"{k}{c}_{window}") for k in ("n", "s", "q"))
+        return F.when(n >= least, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1)))
+
+    correlation = div(mean("xy") - mean("x3") * mean("y3"), sd("x3", "long", 500) * sd("y3", "long", 500))
+    value = F.abs(correlation) * div(sd("y", "year", 120), sd("x", "year", 120))
     found = rows.select("e", "m", "d", ieee.finite(value).alias("v")).where("v IS NOT NULL")
     return s.attach(last_of_month(found, "v"))
 
@@ -288,26 +300,90 @@ def betatailrisk_signal(s: Stage, *children: Column, window: int = 120, min_obs:
 TREND_WINDOWS = (3, 5, 10, 20, 50, 100, 200, 400, 600, 800, 1000)
 
 
+def trailing_means(rows: DataFrame, value: str, order: str, windows: tuple[int, ...]) -> list[Column]:
+    """Means of an entity's last rows, present values only, from running sums: work does not grow with the windows.
+
+    A window that holds an infinity has an infinite mean, and a finite one again once it is past.
+    """
+    along = W.partitionBy("e").orderBy(order)
+    so_far = along.rowsBetween(W.unboundedPreceding, 0)
+    inner = {"_sum": F.sum(F.coalesce(finite(F.col(value)), F.lit(0.0))), "_n": F.count(value), "_inf": F.count(F.when(F.col(value) == ieee.INF, 1))}
+    rows = rows.select("*", *(c.over(so_far).alias(n) for n, c in inner.items()))
+    since = lambda c, w: F.col(c) - F.coalesce(F.lag(c, w).over(along), F.lit(0))
+    means = [F.when(since("_inf", w) > 0, F.lit(ieee.INF)).otherwise(F.when(since("_n", w) > 0, since("_sum", w) / since("_n", w))) for w in windows]
+    return rows.select("*", *(m.alias(f"a{w}") for m, w in zip(means, windows, strict=True))).drop(*inner)
+
+
+def month_coefficients(moments: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Slopes of rows of moment triangles of (1, xs, y); collinear columns have slope 0, months without rows none.
+
+    ``flat`` marks columns of one value.  The others, scaled to length one, are taken by pivoted Cholesky steps, largest
+    rest first, until what is left is rounding; the fit on them is of least norm.
+    """
+    k = flat.shape[1]
+    full = unfolded(moments, k + 2)
+    out = np.full((len(full), k), np.nan)
+    for r in np.flatnonzero(np.nan_to_num(full[:, 0, 0]) > 0):  # one row for each month
+        use = np.flatnonzero(~flat[r])
+        gram = full[r, 1:-1, 1:-1][np.ix_(use, use)]
+        size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        rest = gram / np.outer(size, size)
+        kept: list[int] = []
+        while len(kept) < min(len(use), int(full[r, 0, 0])):
+            j = int(np.argmax(np.diag(rest)))
+            if rest[j, j] <= 1e-12:
+                break
+            kept.append(j)
+            rest = rest - np.outer(rest[:, j], rest[j]) / rest[j, j]
+            rest[j, :] = rest[:, j] = 0
+        out[r] = 0
+        if kept:
+            own = [0, *(1 + use[sorted(kept)]), k + 1]
+            flat_moments = full[r][np.ix_(own, own)][np.triu_indices(len(own))]
+            out[r, use[sorted(kept)]] = solve_moments(flat_moments[None, :], len(kept), 0, least_norm=True)[0][0, 1:]
+    return out
+
+
+def _relative(mean: str) -> Column:
+    """A mean over the row's own price; a finite mean over an infinite price is 0."""
+    return F.when(F.col("p") == ieee.INF, F.when(F.col(mean) < ieee.INF, F.lit(0.0))).otherwise(div(F.col(mean), F.col("p")))
+
+
 @operator
 def trendfactor_signal(s: Stage, *children: Column, windows: tuple[int, ...] = TREND_WINDOWS) -> Column:
-    """Return forecast from moving averages of price, with the mean of the twelve coefficient rows before."""
+    """Return forecast from moving averages of price, with the mean of the twelve coefficient rows before.
+
+    Missing prices and sizes count as +inf in the screens.  Next month's return must pass them as well.
+    """
     rows = days(s).select("e", "m", "d", clean(div(F.abs("prc"), F.col("cfacpr"))).alias("p"))
-    along = W.partitionBy("e").orderBy("d")
     names = [f"a{w}" for w in windows]
-    rows = rows.select("*", *(F.avg("p").over(along.rowsBetween(-(w - 1), 0)).alias(f"a{w}") for w in windows))
-    last = first_by(rows, ["e", "m"], F.desc("d")).select("e", "m", *(div(F.col(n), F.col("p")).alias(n) for n in names))
-    u = s.table("universe").select("e", "m", "ret", "prc", "exchcd", "shrcd", "mve")
-    along_m = W.partitionBy("e").orderBy("m")
-    u = u.withColumn("next", F.max("ret").over(along_m.rangeBetween(1, 1)))
-    edge = u.where("exchcd = 1 AND mve IS NOT NULL").groupBy("m").agg(F.percentile("mve", F.lit(0.1)).alias("p10"))
-    u = u.join(F.broadcast(edge), "m", "left").where(F.col("exchcd").isin(1, 2, 3) & F.col("shrcd").isin(10, 11) & (F.abs("prc") >= 5) & (F.col("mve").isNull() | F.col("p10").isNull() | (F.col("mve") >= F.col("p10"))))
-    panel = u.join(last, ["e", "m"]).dropna(subset=names)
     k = len(names)
-    fits = with_coefficients(panel.groupBy("m").agg(*moment_columns(F.col("next"), [F.col(n) for n in names])), k, k + 1).where("b1 IS NOT NULL")
+    last = first_by(trailing_means(rows, "p", "d", windows), ["e", "m"], F.desc("d"))
+    last = last.select("e", "m", *(_relative(n).alias(n) for n in names))
+    u = s.table("universe").select("e", "m", "ret", "prc", "exchcd", "shrcd", "mve")
+    sizes = u.where("exchcd = 1").groupBy("m").agg(F.sort_array(F.collect_list("mve")).alias("sizes"))
+    edge = sizes.select("m", ranked_quantile(F.col("sizes"), 0.1).alias("p10"))
+    top = lambda c: F.coalesce(c, F.lit(ieee.INF))
+    passed = F.col("exchcd").isin(1, 2, 3) & F.col("shrcd").isin(10, 11) & (top(F.abs("prc")) >= 5) & (top(F.col("mve")) >= top(F.col("p10")))
+    panel = u.join(F.broadcast(edge), "m", "left").where(passed).select("e", "m", "ret").join(last, ["e", "m"])
+    panel = panel.withColumn("next", F.max("ret").over(W.partitionBy("e").orderBy("m").rangeBetween(1, 1)))
+    xs = [finite(F.col(n)) for n in names]
+    used = reduce(lambda a, b: a & b, [finite(F.col("next")).isNotNull(), *(x.isNotNull() for x in xs)])
+    flat = [(F.min(F.when(used, x)) == F.max(F.when(used, x))).alias(f"f{i}") for i, x in enumerate(xs)]
+    monthly = panel.groupBy("m").agg(*moment_columns(finite(F.col("next")), xs), *flat)
+    columns = [f"m_{i}_{j}" for i in range(k + 2) for j in range(i, k + 2)]
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            constant = part[[f"f{i}" for i in range(k)]].fillna(True).to_numpy(bool)
+            slopes = month_coefficients(part[columns].to_numpy(float), constant)
+            yield pd.DataFrame({"m": part["m"], **{f"b{i}": slopes[:, i] for i in range(k)}})
+
+    fits = monthly.mapInPandas(solve, "m int, " + ", ".join(f"b{i} double" for i in range(k)))
     before = W.orderBy("m").rowsBetween(-12, -1)  # one row for each month
-    expected = fits.select("m", *(F.avg(f"b{i}").over(before).alias(f"e{i}") for i in range(1, k + 1)))
-    forecast = sum((F.col(f"e{i}") * F.col(n) for i, n in enumerate(names[1:], 2)), F.col("e1") * F.col(names[0]))
-    return s.attach(as_value(panel.join(F.broadcast(expected), "m").select("e", "m", forecast.alias("v")), "v"))
+    expected = fits.select("m", *(F.avg(clean(F.col(f"b{i}"))).over(before).alias(f"e{i}") for i in range(k)))
+    forecast = sum((F.col(f"e{i}") * F.col(n) for i, n in enumerate(names[1:], 1)), F.col("e0") * F.col(names[0]))
+    return s.attach(as_value(panel.join(F.broadcast(expected), "m").select("e", "m", clean(forecast).alias("v")), "v"))
 
 
 @operator

@@ -8,14 +8,16 @@ Everything is an equi-join on (ticker, m), (firm, m) or (e, m), or a window alon
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import ieee
-from cadenza.functions.bins import percent_rank, qcut_bin
-from cadenza.functions.ieee import clean, div, holds, indicator, number, or_infinite
-from cadenza.operators.crosssection import trim_by_month
+from cadenza.functions.bins import nearest_quantile, percent_rank, qcut_bin
+from cadenza.functions.ieee import clean, div, finite, holds, indicator, number
 from cadenza.operators.elementwise import month_of, year_of
 from cadenza.operators.masks import span
 from cadenza.operators.regression import grouped_ols
@@ -82,11 +84,14 @@ def earnings_increase_streak(s: Stage, *children: Column) -> Column:
     return F.when(there.isNotNull(), out)
 
 
-def _annual_hold(s: Stage, rows: DataFrame) -> Column:
-    """Rows (firm, e, m, datadate, v) held for 12 months: the latest statement of a firm, then the first firm of an entity."""
+def _annual_hold(s: Stage, rows: DataFrame, present_first: bool = False) -> Column:
+    """Rows (firm, e, m, datadate, v) held for 12 months: the latest statement of a firm, then the first firm of an
+    entity (``present_first``: of those with a value).  A missing value hides older statements as well.
+    """
     spread = rows.withColumn("m", F.explode(F.sequence(F.col("m"), F.col("m") + 11)))
     latest = first_by(spread, ["firm", "m"], F.desc("datadate"), "e")
-    return s.attach(first_by(latest, ["e", "m"], F.col("v").isNull(), "firm").where("v IS NOT NULL").select("e", "m", F.col("v").alias("value")))
+    order = [F.col("v").isNull(), "firm"] if present_first else ["firm"]
+    return s.attach(first_by(latest, ["e", "m"], *order).where("v IS NOT NULL").select("e", "m", F.col("v").alias("value")))
 
 
 def _years(s: Stage, columns: list[str]) -> DataFrame:
@@ -131,59 +136,99 @@ def equity_duration_signal(s: Stage, *children: Column) -> Column:
         r, g, book = F.col(f"r{t}"), F.col(f"g{t}"), F.col(f"b{t}")
     size = F.col("prcc_f") * F.col("csho")
     value = div(weighted, size) + (horizon + (1 + cost) / cost) * (1 - div(present, size))
-    return _annual_hold(s, rows.select("firm", "e", "m", "datadate", clean(value).alias("v")))
+    return _annual_hold(s, rows.select("firm", "e", "m", "datadate", clean(value).alias("v")), present_first=True)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as numbers divide: 0/0 is NaN, missing operands alone make it missing."""
+    return F.when((a == 0) & (b == 0), F.lit(float("nan"))).otherwise(div(a, b))
 
 
 @operator
 def abnormal_accruals_signal(s: Stage, *children: Column) -> Column:
-    """Accruals less those expected from sales and fixed assets, by coefficients and bounds of the year before."""
-    rows = first_by(_years(s, ["oancf", "fopt", "act", "che", "lct", "dlc", "ib", "sale", "ppegt", "ni", "at", "sic"]), ["firm", "fyear"], F.desc("datadate"), "e")
-    before = W.partitionBy("firm").orderBy("fyear").rangeBetween(-1, -1)
-    back = lambda c: F.max(c).over(before)
-    rows = rows.select("*", *(back(c).alias(f"l_{c}") for c in ("act", "che", "lct", "dlc", "sale", "at")))
+    """Accruals less those expected from sales and fixed assets, by coefficients and bounds of the year before.
+
+    Bounds are nearest ranks of all values of a year, each quantity by itself; a year's values lie in one list, whose
+    length is the number of firms.  A year's fit leaves out what its own bounds cut off; a firm is scored by the bounds
+    and coefficients of the year before.  Years that a firm left out lend 1 / assets once more to their last year's pool.
+    """
+    rows = first_by(_years(s, ["oancf", "fopt", "act", "che", "lct", "dlc", "ib", "sale", "ppegt", "at", "sic"]), ["firm", "fyear"], F.desc("datadate"), "e")
+    along = W.partitionBy("firm").orderBy("fyear")
+    before = along.rangeBetween(-1, -1)
+    rows = rows.select("*", F.lead("fyear").over(along).alias("following"), *(F.max(c).over(before).alias(f"l_{c}") for c in ("act", "che", "lct", "dlc", "sale", "at")))
     change = lambda c: F.col(c) - F.col(f"l_{c}")
     cash = F.coalesce("oancf", F.col("fopt") - change("act") + change("che") + change("lct") - change("dlc"))
-    scaled = rows.select("firm", "e", "m", "fyear", "datadate", F.floor(number(F.col("sic")) / 100).alias("industry"), ieee.finite(div(F.col("ib") - cash, F.col("l_at"))).alias("y"), ieee.finite(div(F.lit(1.0), F.col("l_at"))).alias("x1"), ieee.finite(div(change("sale"), F.col("l_at"))).alias("x2"), ieee.finite(div(F.col("ppegt"), F.col("l_at"))).alias("x3"))
-    present = scaled.where("y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND industry IS NOT NULL")
     names = ["y", "x1", "x2", "x3"]
-    bounds = present.groupBy("fyear").agg(*(F.percentile(c, F.array(F.lit(0.001), F.lit(0.999))).alias(f"q_{c}") for c in names)).withColumn("fyear", F.col("fyear") + 1)
-    inside = F.lit(True)
-    for c in names:
-        inside = inside & F.col(c).between(F.get(f"q_{c}", F.lit(0)), F.get(f"q_{c}", F.lit(1)))
-    trimmed = present.join(F.broadcast(bounds), "fyear", "left").where(F.coalesce(inside, F.lit(True)))
-    fits = grouped_ols(trimmed, ["fyear", "industry"], "y", ["x1", "x2", "x3"], 6).withColumn("fyear", F.col("fyear") + 1)
-    scored = trimmed.join(fits.select("fyear", "industry", "b0", "b1", "b2", "b3"), ["fyear", "industry"])
+    parts = [F.col("ib") - cash, F.lit(1.0), change("sale"), F.col("ppegt")]
+    skipped = F.when(F.col("following") > F.col("fyear") + 1, ratio(F.lit(1.0), F.col("at")))
+    rows = rows.select("firm", "e", "m", "fyear", "datadate", F.floor(number(F.col("sic")) / 100).alias("industry"), skipped.alias("skipped"), *(ratio(x, F.col("l_at")).alias(n) for x, n in zip(parts, names, strict=True)))
+    pool = lambda c: F.sort_array(F.concat(F.collect_list(c), F.collect_list("skipped")) if c == "x1" else F.collect_list(c))
+    pools = rows.groupBy("fyear").agg(*(pool(c).alias(c) for c in names))
+    bounds = pools.select("fyear", *(nearest_quantile(F.col(c), q).alias(f"{side}_{c}") for c in names for side, q in (("lo", 0.001), ("hi", 0.999))))
+    present = rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in names) + " AND industry IS NOT NULL")
+    inside = reduce(lambda x, y: x & y, [~(holds(F.col(c) < F.col(f"lo_{c}")) | holds(F.col(c) > F.col(f"hi_{c}"))) for c in names])
+    fits = grouped_ols(present.join(F.broadcast(bounds), "fyear").where(inside), ["fyear", "industry"], "y", names[1:], 6, least_norm=True)
+    last = lambda df: df.withColumn("fyear", F.col("fyear") + 1)
+    scored = present.join(F.broadcast(last(bounds)), "fyear").where(inside).join(last(fits.select("fyear", "industry", "b0", "b1", "b2", "b3")), ["fyear", "industry"])
     v = F.col("y") - (F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2") + F.col("b3") * F.col("x3"))
+    scored = rows.select("firm", "e", "m", "fyear", "datadate").join(scored.select("firm", "fyear", clean(v).alias("v")), ["firm", "fyear"], "left")
     exchange = s.table("universe").select("e", "m", "exchcd")
     kept = scored.join(exchange, ["e", "m"], "left").where(~holds((F.col("exchcd") == 3) & (F.col("fyear") < 1982)))
-    return _annual_hold(s, first_by(kept.select("firm", "e", "m", "fyear", "datadate", clean(v).alias("v")), ["e", "fyear"], "firm"))
+    first = first_by(kept, ["e", "fyear"], "firm").where("v IS NOT NULL")
+    return s.attach(hold(first.select("e", "m", F.col("v").alias("value")), 12))
 
 
 def _valuation(s: Stage, growth_rows: int = 60) -> DataFrame:
     """June rows: forecast and realised returns on equity and the two value estimates, with screens applied."""
-    universe = s.table("universe").where("ticker IS NOT NULL").select("e", "m", "ticker", F.abs("prc").alias("prc"), "mve")
-    size = F.col("mve")
-    statement = first_by(s.table("statement_month").select("e", "m", "datadate", "ceq", "ib", "ibcom", "sale", "dvc", "at"), ["e", "m"], F.desc("datadate"))
     along = W.partitionBy("e").orderBy("m")
-    statement = statement.withColumn("sg", div(F.col("sale"), F.lag("sale", growth_rows).over(along))).withColumn("ceq_l", F.max("ceq").over(along.rangeBetween(-12, -12)))
-    may = s.table("estimates").where(F.month("statpers") == 5)
-    estimate = lambda fpi, name: first_by(may.where(F.col("fpi") == fpi).select("ticker", (F.col("m") + 1).alias("m"), F.col("meanest").alias(name)), ["ticker", "m"], F.desc(name))
-    rows = universe.where(F.col("m") % 12 == 5).join(statement, ["e", "m"]).join(estimate("1", "feps1"), ["ticker", "m"], "left").join(estimate("2", "feps2"), ["ticker", "m"], "left")
-    shares = div(size, F.col("prc"))
-    mean_equity = (F.col("ceq") + F.col("ceq_l")) / 2
-    payout = F.when(F.col("ibcom") < 0, div(F.col("dvc"), 0.06 * F.col("at"))).otherwise(div(F.col("dvc"), F.col("ibcom")))
-    rows = rows.withColumn("roe", div(F.col("ibcom"), mean_equity)).withColumn("k", payout).withColumn("froe1", div(F.col("feps1") * shares, mean_equity))
-    rows = rows.withColumn("ceq1", F.col("ceq") * (1 + F.col("froe1") * (1 - F.col("k"))))
-    rows = rows.withColumn("froe2", div(F.col("feps2") * shares, (F.col("ceq1") + F.col("ceq")) / 2))
-    rows = rows.withColumn("ceq2", F.col("ceq1") * (1 + F.col("froe2") * (1 - F.col("k")))).withColumn("froe3", F.col("froe2"))
+    shares = s.table("stock_month").groupBy("e", "m").agg(F.max("shrout").alias("shrout"))
+    items = ["ceq", "ibcom", "sale", "dvc", "at"]
+    statement = first_by(s.table("statement_month").select("e", "m", "datadate", *items), ["e", "m"], F.desc("datadate"))
+    rows = s.table("universe").select("e", "m", "ticker", F.abs("prc").alias("prc")).join(shares, ["e", "m"], "left").join(statement, ["e", "m"], "left")
+    # Rows of the universe, not months: gaps are bridged here, as for last June's equity.
+    rows = rows.withColumn("sg", ratio(F.col("sale"), F.lag("sale", growth_rows).over(along))).where("m % 12 = 5")
+    rows = rows.withColumn("ceq_l", F.lag("ceq").over(along))
+
+    def estimate(kind: str, name: str) -> DataFrame:
+        found = s.table("estimates").where(F.col("fpi") == kind)
+        if kind != "0":  # of May, for June
+            found = found.where(F.month("statpers") == 5)
+            found = found.where(F.col("fpedats") > F.date_add("statpers", 30)) if kind == "1" else found
+            found = found.withColumn("m", F.col("m") + 1)
+        return found.groupBy("ticker", "m").agg(F.max("meanest").alias(name))
+
+    for kind, name in (("1", "feps1"), ("2", "feps2"), ("0", "ltg")):
+        rows = rows.join(estimate(kind, name), ["ticker", "m"], "left")
+    ceq, k, roe, froe1 = (F.col(c) for c in ("ceq", "k", "roe", "froe1"))
+    grown = lambda book, rate: F.col(book) * (1 + F.col(rate) * (1 - k))
+    steps = {
+        "equity": F.coalesce((ceq + F.col("ceq_l")) / 2, ceq),
+        "size": F.col("shrout") * F.col("prc"),
+        "bm": ratio(ceq, F.col("size")),
+        "k": F.when(F.col("ibcom") < 0, ratio(F.col("dvc"), 0.06 * F.col("at"))).otherwise(ratio(F.col("dvc"), F.col("ibcom"))),
+        "roe": ratio(F.col("ibcom"), F.col("equity")),
+        "froe1": ratio(F.col("feps1") * F.col("shrout"), F.col("equity")),
+        "ceq1": grown("ceq", "froe1"),
+        "own1": grown("ceq", "roe"),
+        "froe2": ratio(F.col("feps2") * F.col("shrout"), (F.col("ceq1") + ceq) / 2),
+        "ceq2": grown("ceq1", "froe1"),
+        "own2": grown("own1", "roe"),
+        "froe3": F.when(F.col("ltg").isNull(), F.col("froe2")).otherwise(ratio(F.col("feps2") * (1 + F.col("ltg") / 100) * F.col("shrout"), (F.col("ceq1") + F.col("ceq2")) / 2)),
+        "ceq3": grown("ceq2", "froe2"),
+    }
+    for name, column in steps.items():
+        rows = rows.withColumn(name, column)
+    # Fixed value: cost of equity.
     rate = 0.12
-    residual = lambda roe: (F.col(roe) - rate)
-    forecast = F.col("ceq") + residual("froe1") / (1 + rate) * F.col("ceq") + residual("froe2") / (1 + rate) ** 2 * F.col("ceq1") + residual("froe3") / ((1 + rate) ** 2 * rate) * F.col("ceq2")
-    own1 = F.col("ceq") * (1 + F.col("roe") * (1 - F.col("k")))
-    realised = F.col("ceq") + residual("roe") / (1 + rate) * F.col("ceq") + residual("roe") / ((1 + rate) * rate) * own1
-    rows = rows.withColumn("value", div(forecast, size)).withColumn("intrinsic", div(realised, size))
-    screen = (F.col("ceq") > 0) & (F.abs("roe") <= 1) & (F.abs("froe1") <= 1) & (F.col("k").isNull() | (F.col("k") <= 1)) & (F.month("datadate") >= 6) & F.col("feps1").isNotNull() & F.col("feps2").isNotNull()
-    return first_by(rows.where(screen), ["e", "m"], "ticker")
+    extra = lambda name: F.col(name) - rate
+    forecast = F.col("ceq1") * (1 + extra("froe1") / (1 + rate)) + extra("froe2") / (1 + rate) ** 2 * F.col("ceq2") + extra("froe3") / ((1 + rate) ** 2 * rate) * F.col("ceq3")
+    realised = F.col("own1") * (1 + extra("roe") / (1 + rate)) + extra("roe") / ((1 + rate) * rate) * F.col("own2")
+    rows = rows.withColumn("value", clean(ratio(forecast, F.col("size")))).withColumn("intrinsic", clean(ratio(realised, F.col("size"))))
+    rows = rows.withColumn("optimism", clean(ratio(F.col("value") - F.col("intrinsic"), F.abs("intrinsic"))))
+    # A ratio of missing items passes its screen; 0/0, which is NaN and so above every number, does not.
+    screen = (ceq > 0) & ((F.abs(roe) <= 1) | roe.isNull()) & ((F.abs(froe1) <= 1) | froe1.isNull()) & ((k <= 1) | k.isNull())
+    rows = rows.where(screen & (F.month("datadate") >= 6) & F.col("feps1").isNotNull() & F.col("feps2").isNotNull())
+    return first_by(rows, ["e", "m"], "ticker").select("e", "m", "value", "intrinsic", "optimism", "roe", "froe1", *(clean(F.col(c)).alias(c) for c in ("sg", "bm", "ltg")))
 
 
 @operator
@@ -193,26 +238,27 @@ def analyst_value_signal(s: Stage, *children: Column) -> Column:
 
 @operator
 def analyst_optimism_ratio(s: Stage, *children: Column) -> Column:
-    ratio = div(F.col("value") - F.col("intrinsic"), F.abs("intrinsic"))
-    return s.attach(hold(_valuation(s).select("e", "m", ratio.alias("value")), 12))
+    return s.attach(hold(_valuation(s).select("e", "m", F.col("optimism").alias("value")), 12))
 
 
 @operator
 def predicted_forecast_error(s: Stage, *children: Column, horizon_months: int = 12, growth_rows: int = 60) -> Column:
-    """Forecast errors explained by last June's ranks of four traits; the coefficients score this June's ranks."""
-    rows = _valuation(s, growth_rows)
-    along = W.partitionBy("e").orderBy("m").rangeBetween(-12, -12)
-    rows = rows.withColumn("bp", div(F.col("ceq"), F.col("mve")))
-    ranked = rows.select("e", "m", "roe", F.max("froe1").over(along).alias("froe_l"), *(percent_rank(ieee.finite(F.col(c)), F.col("m")).alias(f"r_{c}") for c in ("sg", "bp", "value", "froe1")))
-    names = ["r_sg", "r_bp", "r_value", "r_froe1"]
-    lagged = ranked.select("e", (F.col("m") + 12).alias("m"), *(F.col(c).alias(f"l_{c}") for c in names))
-    errors = Stage(ranked.withColumn("error", F.col("froe_l") - F.col("roe")))
-    trimmed = trim_by_month(errors, F.col("error"))
-    train = errors.df.withColumn("y", trimmed).join(lagged, ["e", "m"])
-    fits = grouped_ols(train, ["m"], "y", [f"l_{c}" for c in names], 6)
+    """Forecast errors explained by last June's ranks of four traits; the coefficients score this June's ranks.
+
+    Every June is fitted, by the solution of least norm where rows do not suffice: zeros without any.
+    """
+    traits = ["sg", "bm", "optimism", "ltg"]
+    before = W.partitionBy("e").orderBy("m").rangeBetween(-12, -12)
+    rows = _valuation(s, growth_rows).withColumn("error", F.max("froe1").over(before) - F.col("roe"))
+    pools = rows.groupBy("m").agg(F.sort_array(F.collect_list("error")).alias("errors"))
+    bounds = pools.select("m", nearest_quantile(F.col("errors"), 0.01).alias("lo"), nearest_quantile(F.col("errors"), 0.99).alias("hi"))
+    rows = rows.join(F.broadcast(bounds), "m")
+    ranked = rows.select("e", "m", F.when(F.col("error").between(F.col("lo"), F.col("hi")), F.col("error")).alias("y"), *(percent_rank(F.col(c), F.col("m")).alias(f"r_{c}") for c in traits))
+    ranked = ranked.select("*", *(F.max(f"r_{c}").over(before).alias(f"l_{c}") for c in traits))
+    fits = grouped_ols(ranked, ["m"], "y", [f"l_{c}" for c in traits], 0, least_norm=True)
     score = F.col("b0")
-    for i, c in enumerate(names, 1):
-        score = score + F.col(f"b{i}") * F.col(c)
+    for i, c in enumerate(traits, 1):
+        score = score + F.col(f"b{i}") * F.col(f"r_{c}")
     return s.attach(hold(ranked.join(F.broadcast(fits), "m").select("e", "m", score.alias("value")).where("value IS NOT NULL"), 12))
 
 
@@ -225,7 +271,7 @@ def frontier_signal(s: Stage, at: Column, ceq: Column, dltt: Column, capx: Colum
     """
     y = ieee.finite(ieee.ln(mve))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    xs = [ieee.ln(ceq), div(dltt, at), div(capx, sale), div(zero(xrd), sale), div(zero(xad), sale), div(ppent, at), div(ebitda, at)]
+    xs = [ieee.ln(ceq), div(dltt, at), div(capx, sale), div(xrd, sale), div(zero(xad), sale), div(ppent, at), div(ebitda, at)]
     names = [f"x{i}" for i in range(7)]
     rows = s.df.where(F.col("strict") & (ceq > 0)).select("e", "m", industry.alias("industry"), y.alias("y"), *(ieee.finite(x).alias(n) for x, n in zip(xs, names, strict=True)))
     whole = rows.dropna(subset=["y", "industry", *names])
@@ -249,55 +295,76 @@ def frontier_signal(s: Stage, at: Column, ceq: Column, dltt: Column, capx: Colum
 
 @operator
 def rd_ability_signal(s: Stage, *children: Column, years: int = 8, min_pairs: int = 6) -> Column:
-    """Mean slope of sales growth on research intensity of one to five years before, in the top tercile of intensity."""
+    """Mean slope of sales growth on research intensity of one to five years before, in the top tercile of intensity.
+
+    Slopes are over the pairs of the last ``years`` fiscal years.  One is dropped if, in a run of consecutive years, under
+    half of the last rows had any research that many years before; shorter runs are not judged.
+    """
     rows = first_by(_years(s, ["xrd", "sale"]), ["firm", "fyear"], F.desc("datadate"), "e")
     along = W.partitionBy("firm").orderBy("fyear")
-    back = lambda c, n: F.max(c).over(along.rangeBetween(-n, -n))
-    rows = rows.withColumn("y", ieee.finite(ieee.ln(div(F.col("sale"), back("sale", 1))))).withColumn("x", ieee.finite(ieee.ln(1 + div(F.col("xrd"), F.col("sale")))))
+    sale, xrd = F.when(F.col("sale") > 0, F.col("sale")), F.when(F.col("xrd") >= 0, F.col("xrd"))
+    rows = rows.withColumn("y", F.ln(sale / F.lag(sale).over(along))).withColumn("x", F.log1p(xrd / sale)).withColumn("run", F.col("fyear") - F.row_number().over(along))
+    frame = along.rangeBetween(-(years - 1), 0)
+    recent = W.partitionBy("firm", "run").orderBy("fyear").rowsBetween(-(years - 1), 0)
     slopes = []
     for n in range(1, 6):
-        rows = rows.withColumn(f"x{n}", back("x", n))
-        frame = along.rangeBetween(-(years - 1), 0)
+        rows = rows.withColumn(f"x{n}", F.max("x").over(along.rangeBetween(-n, -n)))
         pair = F.when(F.col("y").isNotNull(), F.col(f"x{n}"))
-        count, least, most = F.count(pair).over(frame), F.min(pair).over(frame), F.max(pair).over(frame)
-        share = F.avg(F.when(F.col(f"x{n}").isNotNull(), (F.col(f"x{n}") > 0).cast("double"))).over(frame)
-        slope = F.when((count >= min_pairs) & (least < most) & ~holds(share < 0.5), F.regr_slope(F.col("y"), F.col(f"x{n}")).over(frame))
-        rows = rows.withColumn(f"slope{n}", clean(slope))
+        sound = (F.count(pair).over(frame) >= min_pairs) & (F.min(pair).over(frame) < F.max(pair).over(frame))
+        share = F.avg(F.when(F.col(f"x{n}") > 0, 1.0).otherwise(0.0)).over(recent)
+        rare = (F.count(F.lit(1)).over(recent) >= min_pairs) & (share < 0.5)
+        rows = rows.withColumn(f"slope{n}", clean(F.when(sound & ~rare, F.regr_slope(F.col("y"), F.col(f"x{n}")).over(frame))))
         slopes.append(F.col(f"slope{n}"))
-    rows = rows.withColumn("ability", ieee.null_skipping_mean(slopes)).withColumn("intensity", F.when(F.col("xrd") > 0, div(F.col("xrd"), F.col("sale"))))
+    rows = rows.withColumn("ability", ieee.null_skipping_mean(slopes)).withColumn("intensity", F.when(F.col("xrd") > 0, F.col("xrd") / sale))
     ranked = Stage(rows)
     tercile = qcut_bin(ranked, F.col("intensity"), 3)
-    return _annual_hold(s, ranked.df.where(tercile == 3).select("firm", "e", "m", "datadate", F.col("ability").alias("v")))
+    return _annual_hold(s, ranked.df.select("firm", "e", "m", "datadate", F.when(tercile == 3, F.col("ability")).alias("v")))
 
 
 @operator
 def ms_signal(s: Stage, at: Column, ceq: Column, ni: Column, oancf: Column, fopt: Column, wcapch: Column, ib: Column, dp: Column, xrd: Column, capx: Column, xad: Column, revt: Column, mve: Column, sic: Column, niq: Column, atq: Column, saleq: Column, oancfy: Column, capxy: Column, xrdq: Column, fqtr: Column) -> Column:
-    """Eight growth signals against industry medians in the lowest book-to-market quintile, at the statement's month."""
-    low = qcut_bin(s, s.let(F.when(F.col("strict") & (ceq > 0), ieee.ln(div(ceq, mve)))), 5) == 1
-    low = s.let(holds(low))
-    industry = s.let(F.when(low, F.substring(F.floor(number(sic)).cast("bigint").cast("string"), 1, 2)), "ind")
-    part = s.across(industry)
-    enough = s.let(F.count(F.when(low, 1)).over(part) >= 3)
-    year = year_of()
-    flow = lambda x: s.let(F.when(fqtr == 1, x).otherwise(x - s.lag(x, 3)))
-    trailing = lambda x: s.let(F.when(F.count(x).over(s.months(-11, 0)) == 12, F.avg(x).over(s.months(-11, 0)) * 4))
-    assets = trailing(s.let(atq / 4))
-    cash = s.let(F.when(year <= 1988, F.coalesce(fopt - wcapch, ni + dp)).otherwise(trailing(flow(oancfy))))
-    roa = s.let(div(trailing(niq), assets))
-    cfroa = s.let(div(cash, assets))
-    changes = {"roa": roa, "cfroa": cfroa, "xrd": s.let(div(xrd, s.lag(at, 12))), "capx": s.let(div(capx, s.lag(at, 12))), "xad": s.let(div(xad, s.lag(at, 12)))}
-    growth = s.let(div(saleq, s.lag(saleq, 12)))
-    deviation = lambda x: s.let(F.when(F.count(x).over(s.months(-47, 0)) >= 18, F.stddev_samp(x).over(s.months(-47, 0))))
-    spread = {"roa_sd": deviation(s.let(div(niq, atq))), "growth_sd": deviation(growth)}
-    median = lambda x: s.let(F.median(F.when(low, x)).over(part))
-    signals = [or_infinite(v) > or_infinite(median(v)) for v in changes.values()] + [or_infinite(v) < or_infinite(median(v)) for v in spread.values()]
-    signals.append(or_infinite(cash) > or_infinite(ni))
+    """Eight growth signals against industry medians in the lowest book-to-market quintile, at the statement's month.
+
+    All windows run over an entity's rows in that sample alone: sums and deviations by calendar months, "three before"
+    by rows.  Missing counts as +inf on both sides of a comparison.
+    """
+    bin_ = qcut_bin(s, s.let(F.when(F.col("strict") & (ceq > 0), finite(ieee.ln(div(ceq, mve))))), 5)
+    given = {"ceq": ceq, "fopt": fopt, "wcapch": wcapch, "xad": xad, "niq": niq, "atq": atq, "saleq": saleq, "oancfy": oancfy, "capxy": capxy, "xrdq": xrdq, "fqtr": fqtr}
+    industry = F.substring(F.floor(number(sic)).cast("bigint").cast("string"), 1, 2)
+    low = s.df.where(holds(bin_ == 1)).select("e", "m", industry.alias("ind"), *(c.alias(n) for n, c in given.items())).where("ind IS NOT NULL")
+    statement = s.table("statement_month").groupBy("e", "m").agg(F.max("datadate").alias("datadate"))
+    group = W.partitionBy("ind", "m")
+    rows = low.withColumn("n", F.count("*").over(group)).where("n >= 3").join(statement, ["e", "m"], "left")
+    along = W.partitionBy("e").orderBy("m")
+    three = lambda c: F.lag(c, 3).over(along)
+
+    def rolled(c: Column, months: int, least: int, fn: Callable[[Column], Column]) -> Column:
+        frame = along.rangeBetween(1 - months, 0)
+        return F.when(F.count(finite(c)).over(frame) >= least, fn(finite(c)).over(frame))
+
+    year = lambda c: rolled(c, 12, 12, F.avg) * 4
+    quarter = lambda c: F.when(F.col("fqtr") == 1, F.col(c)).when(F.col("fqtr") > 1, F.col(c) - three(c))
+    steps = {
+        "capxq": quarter("capxy"), "cashq": quarter("oancfy"), "xrdq0": F.coalesce("xrdq", F.lit(0.0)), "sg": div(F.col("saleq"), three("saleq")),
+        "income": year(F.col("niq")), "xrd": year(F.col("xrdq0")), "capx": year(F.col("capxq")),
+        "cash": F.when(F.year("datadate") <= 1988, F.col("fopt") - F.col("wcapch")).otherwise(year(F.col("cashq"))),
+        "mean_at": (F.col("atq") + three("atq")) / 2, "old_at": three("atq"),
+        "roa": div(F.col("income"), F.col("mean_at")), "cfroa": div(F.col("cash"), F.col("mean_at")),
+        "roa_sd": rolled(div(F.col("niq"), F.col("atq")), 48, 18, F.stddev_samp), "sg_sd": rolled(F.col("sg"), 48, 18, F.stddev_samp),
+        "xrd_in": div(F.col("xrd"), F.col("old_at")), "capx_in": div(F.col("capx"), F.col("old_at")), "xad_in": div(F.coalesce("xad", F.lit(0.0)), F.col("old_at")),
+    }
+    for name, column in steps.items():
+        rows = rows.withColumn(name, column)
+    top = lambda c: F.coalesce(c, F.lit(ieee.INF))
+    median = lambda c: top(F.median(c).over(group))
+    signals = [top(F.col(c)) > median(c) for c in ("roa", "cfroa", "xrd_in", "capx_in", "xad_in")] + [top(F.col(c)) < median(c) for c in ("roa_sd", "sg_sd")]
+    signals.append(top(F.col("cash")) > top(F.col("income")))
     score = sum((indicator(x) for x in signals[1:]), indicator(signals[0]))
-    # Statements of fiscal month f count from month (f + 6) mod 12 on.
-    statement = s.attach(first_by(s.table("statement_month").select("e", "m", (F.month("datadate").cast("double")).alias("value")), ["e", "m"], "value"))
-    at_month = month_of() == (statement + 6) % 12
-    stamped = s.let(F.when(low & enough & at_month, F.least(F.greatest(score, F.lit(1.0)), F.lit(6.0))))
-    return s.let(F.last(stamped, ignorenulls=True).over(s.until))
+    # Fixed value: a statement of fiscal month f is told in month (f + 6) mod 12, so one of June never is.
+    told = ~holds(F.col("m") % 12 + 1 != (F.month("datadate") + 6) % 12)
+    rows = rows.withColumn("score", score).withColumn("score", F.when(told, F.least(F.greatest("score", F.lit(1.0)), F.lit(6.0))))
+    carried = rows.select("e", "m", F.last("score", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)).alias("value"))
+    return s.attach(carried)
 
 
 @operator
@@ -332,15 +399,20 @@ def change_in_recommendation_signal(s: Stage, *children: Column) -> Column:
     return link_months(s, rows.select("ticker", "m", (F.col("score") - F.lag("score").over(W.partitionBy("ticker").orderBy("m"))).alias("v")), "v")
 
 
-def _dividends(s: Stage, regular: bool) -> tuple[Column, Column | None]:
-    """Dividends on strict rows, missing ones 0; for regular ones also the payment-frequency code."""
+def _dividends(s: Stage, regular: bool, frequencies: list[int] | None = None) -> tuple[Column, Column | None]:
+    """Dividends on strict rows, missing ones 0; for regular ones also the payment-frequency code.
+
+    Regular payments of several frequencies in one month: those of the least code count.
+    """
     rows = s.table("distributions").where(F.col("cd1") == 1)
     if not regular:
         paid = rows.where(F.col("cd2").isin(2, 3)).groupBy("e", "m").agg(F.sum("divamt").alias("value"))
         return s.let(F.when(F.col("strict"), F.coalesce(s.attach(paid), F.lit(0.0)))), None
-    rows = rows.where(F.col("cd2") == 2)
-    paid = s.attach(rows.groupBy("e", "m").agg(F.sum("divamt").alias("value")))
-    code = s.attach(rows.groupBy("e", "m").agg(F.min("cd3").cast("double").alias("value")))
+    rows = rows.where((F.col("cd2") == 2) & F.col("divamt").isNotNull())
+    rows = rows.where(F.col("cd3").isin(frequencies)) if frequencies else rows
+    rows = first_by(rows.groupBy("e", "m", "cd3").agg(F.sum("divamt").alias("paid")), ["e", "m"], "cd3")
+    paid = s.attach(rows.select("e", "m", F.col("paid").alias("value")))
+    code = s.attach(rows.select("e", "m", F.col("cd3").cast("double").alias("value")))
     return paid, code
 
 
@@ -386,11 +458,10 @@ def seasonal_dividend_indicator(s: Stage, *children: Column, lag_months: int = 1
 
 @operator
 def divyieldst_signal(s: Stage, divamt: Column, distcd: Column, prc: Column) -> Column:
-    paid, code = _dividends(s, True)
+    paid, code = _dividends(s, True, [3, 4, 5])
     paid = s.let(F.when(F.col("strict"), F.coalesce(paid, F.lit(0.0))))
     carried = s.let(F.last(F.when(F.col("strict"), code), ignorenulls=True).over(s.until))
-    expected = F.when(carried == 4, s.lag(paid, 5)).when(carried == 5, s.lag(paid, 11)).when(carried.isin(0, 1, 3) | carried.isNull(), s.lag(paid, 2))
-    expected = F.when(F.col("strict") | (~carried.isin(4, 5)) | carried.isNull(), expected)
+    expected = F.when(carried == 4, s.lag(paid, 5)).when(carried == 5, s.lag(paid, 11)).otherwise(s.lag(paid, 2))
     yearly = s.let(F.sum(paid).over(s.months(-11, 0)))
     rate = s.let(F.when(yearly > 0, div(expected, F.abs(F.when(F.col("strict"), prc)))))
     tercile = qcut_bin(s, s.let(F.when(rate > 0, rate)), 3)

@@ -29,6 +29,12 @@ def _r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns(spark, sf_dir).select("date", "stock", "ret")
 
 
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factors with every sixth value taken out."""
+    hole = (F.col("stock") + F.year("date") * 12 + F.month("date")) % 6 == 0
+    return factors(spark, sf_dir).withColumn("value", F.when(~hole, F.col("value")))
+
+
 def _six(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.floor(F.col(c) * F.lit(1e6) + F.lit(0.50123)).cast("double") / F.lit(1e6))
@@ -99,6 +105,8 @@ QUERIES: dict[str, Query] = {
     "bt__factor_metrics": lambda s, d: _six(prepare.factor_metrics(factors(s, d), prepare.aligned_returns(_r(s, d)), 30), "rank_ic", "rank_ir"),
     "bt__future_return": lambda s, d: _six(prepare.future_return(_r(s, d), 3, 1), "label"),
     "bt__future_spread": lambda s, d: _six(prepare.future_spread(_r(s, d), 3, 1), "label"),
+    "bt__current_return": lambda s, d: _six(prepare.current_return(_r(s, d), 2), "label"),
+    "bt__fill_from_training": lambda s, d: _six(prepare.fill_from_training(_gaps(s, d).where(F.year("date") >= 1995), _gaps(s, d).where((F.year("date") < 1995) & (F.col("stock") % 3 != 0))).where("value IS NOT NULL"), "value"),
     "bt__fill_median_by_date": lambda s, d: _six(prepare.fill_median_by_date(factors(s, d)), "value"),
     "bt__fill_median_by_stock": lambda s, d: _six(prepare.fill_median_by_stock(factors(s, d)), "value"),
     "bt__scale": lambda s, d: _six(prepare.apply_scale(factors(s, d), prepare.fit_scale(factors(s, d))).where("value IS NOT NULL"), "value"),
@@ -130,7 +138,7 @@ def _long(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return rows.unpivot(["e", "m"], ["vol", "prc"], "factor", "value")
 
 
-_BOOK = """wt AS (SELECT r.date, t, stock, (CASE WHEN stock % 2 = 0 THEN 1.0 ELSE -1.0 END) / count(*) OVER (PARTITION BY r.date) AS w FROM r JOIN d ON r.date = d.date WHERE t % 3 = 0 AND stock % 5 = 0),
+_BOOK = """wt AS (SELECT r.date, t, stock, (CASE WHEN stock % 2 = 0 THEN 1.0 ELSE -1.0 END) / count(*) OVER (PARTITION BY r.date) AS w FROM r JOIN d ON r.date = d.date WHERE t % 3 = 0),
 books AS (SELECT DISTINCT t AS book FROM wt),
 grid AS (SELECT d.date, d.t, max(book) AS book FROM d JOIN books ON book <= d.t GROUP BY d.date, d.t),
 own AS (SELECT g.date, g.t, g.book, wt.stock, wt.w, product(1 + coalesce(r.ret, 0)) OVER (PARTITION BY g.book, wt.stock ORDER BY g.t) AS gr FROM grid g JOIN wt ON wt.t = g.book LEFT JOIN r ON r.date = g.date AND r.stock = wt.stock),
@@ -165,7 +173,9 @@ SQL: dict[str, str] = {
     "bt__rank_correlations": f"{_BASE}, {_IC} SELECT factor, date, {_q6('ic')} AS ic FROM ic",
     "bt__factor_metrics": f"{_BASE}, {_IC} SELECT factor, {_q6('abs(avg(ic))')} AS rank_ic, {_q6('abs(avg(ic) / stddev_samp(ic))')} AS rank_ir FROM ic GROUP BY factor",
     "bt__future_return": f"{_BASE}, {_LABEL} SELECT date, stock, {_q6('label')} AS label FROM lab",
-    "bt__future_spread": f"{_BASE}, {_LABEL}, sp AS (SELECT date, stock, label - avg(label) OVER (PARTITION BY date) AS label FROM lab) SELECT date, stock, {_q6('label')} AS label FROM sp",
+    "bt__future_spread": f"{_BASE}, {_LABEL}, mean AS (SELECT t, avg(ret) AS ret FROM r JOIN d ON r.date = d.date GROUP BY t), market AS (SELECT d.date, product(1 + mean.ret) - 1 AS market FROM d JOIN mean ON mean.t BETWEEN d.t + 1 AND d.t + 3 GROUP BY d.date HAVING count(mean.ret) = 3) SELECT lab.date, stock, {_q6('label - market')} AS label FROM lab JOIN market ON lab.date = market.date",
+    "bt__current_return": f"{_BASE}, x AS (SELECT d2.date, r.stock, r.ret FROM r JOIN d ON r.date = d.date JOIN d d2 ON d2.t = d.t - 2) SELECT date, stock, {_q6('ret')} AS label FROM x WHERE ret IS NOT NULL",
+    "bt__fill_from_training": f"{_BASE}, s AS (SELECT date, stock, factor, CASE WHEN (stock + year(date) * 12 + month(date)) % 6 <> 0 THEN value END AS value FROM f), tr AS (SELECT * FROM s WHERE year(date) < 1995 AND stock % 3 <> 0), ev AS (SELECT factor, median(value) AS every FROM tr GROUP BY factor), ow AS (SELECT factor, stock, median(value) AS own FROM tr GROUP BY factor, stock), a AS (SELECT s.date, s.stock, s.factor, every, coalesce(s.value, own, CASE WHEN ow.stock IS NOT NULL THEN every END) AS v FROM s LEFT JOIN ev ON s.factor = ev.factor LEFT JOIN ow ON s.factor = ow.factor AND s.stock = ow.stock WHERE year(s.date) >= 1995), b AS (SELECT *, coalesce(v, median(v) OVER (PARTITION BY factor, date), every) AS w FROM a) SELECT date, stock, factor, {_q6('w')} AS value FROM b WHERE w IS NOT NULL",
     "bt__fill_median_by_date": f"{_BASE}, x AS (SELECT date, stock, factor, coalesce(value, median(value) OVER (PARTITION BY factor, date)) AS v FROM f) SELECT date, stock, factor, {_q6('v')} AS value FROM x",
     "bt__fill_median_by_stock": f"{_BASE}, x AS (SELECT date, stock, factor, coalesce(value, median(value) OVER (PARTITION BY factor, stock)) AS v FROM f) SELECT date, stock, factor, {_q6('v')} AS value FROM x",
     "bt__scale": f"{_BASE}, sc AS (SELECT factor, avg(value) AS mu, stddev_samp(value) AS sd FROM f GROUP BY factor) SELECT date, stock, factor, {_q6('(value - mu) / sd')} AS value FROM f JOIN sc USING (factor) WHERE value IS NOT NULL",

@@ -116,36 +116,132 @@ def _fill() -> None:
     table_case("join__fgr5yr_lag_signal", "fgr5yr_lag_signal()", sm, f"{_SPINE}, {_TICKERS}, c AS (SELECT DISTINCT e, m FROM statement_month WHERE ceq IS NOT NULL AND ib IS NOT NULL AND txdi IS NOT NULL AND dv IS NOT NULL AND sale IS NOT NULL AND ni IS NOT NULL AND dp IS NOT NULL), r AS (SELECT e, m, max(meanest) AS x FROM c JOIN tickers USING (e, m) JOIN estimates USING (ticker, m) WHERE fpi = '0' GROUP BY e, m), l AS (SELECT e, m, {lag('x', 6)} AS v FROM r), stamped AS (SELECT e, m, v FROM l WHERE m % 12 = 5 AND v IS NOT NULL), {_held(12)}")
     table_case("join__sfe_signal", "sfe_signal()", sm, f"{_SPINE}, c AS (SELECT DISTINCT e, m FROM statement_month WHERE month(datadate) = 12), j AS (SELECT c.e, c.m, medest, numest, u.prc FROM estimates x JOIN universe u ON u.ticker = x.ticker AND u.m + 3 = x.m JOIN c ON c.e = u.e AND c.m = x.m WHERE fpi = '1' AND month(statpers) = 3 AND fpedats > statpers + 90), q AS (SELECT *, quantile_cont(numest, 0.5) OVER (PARTITION BY m) AS med, min(numest) OVER (PARTITION BY m) AS lo, max(numest) OVER (PARTITION BY m) AS hi FROM j), stamped AS (SELECT e, m, max(medest / abs(prc)) AS v FROM q WHERE lo < hi AND NOT (med > lo AND med < hi AND med < numest) GROUP BY e, m), {_held(12)}")
     table_case("event__earnings_streak_signal", "earnings_streak_signal()", [*u, "estimates_adjusted"], f"{_SPINE}, {_TICKERS}, a AS (SELECT ticker, {_month('anndats_act')} AS m, arg_max((actual - meanest) / price, anndats_act) AS x, max(anndats_act) AS d FROM estimates_adjusted WHERE fpi = '6' AND actual IS NOT NULL AND meanest IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2), b AS (SELECT *, lag(sign(x)) OVER (PARTITION BY ticker ORDER BY d) AS l FROM a), k AS (SELECT ticker, m, x, m AS stamp FROM b WHERE sign(x) = l), p AS (SELECT t.e, t.m, k.x, k.stamp FROM tickers t LEFT JOIN k ON t.ticker = k.ticker AND t.m = k.m), f AS (SELECT e, m, {so_far('last_value(x IGNORE NULLS)')} AS x, {so_far('last_value(stamp IGNORE NULLS)')} AS stamp FROM p), z AS (SELECT e, m, x AS v FROM f WHERE m - stamp <= 6)")
-    regular = "paid0 AS (SELECT e, m, sum(divamt) AS d, min(cd3) AS c FROM distributions WHERE cd1 = 1 AND cd2 = 2 GROUP BY e, m), flags AS (SELECT e, m, bool_or(shrcd IN (10, 11, 12) AND exchcd IN (1, 2, 3)) AS strict, max(prc) AS prc FROM stock_month GROUP BY e, m), g0 AS (SELECT s.e, s.m, coalesce(strict, false) AS strict, prc, d, c FROM spine s LEFT JOIN flags USING (e, m) LEFT JOIN paid0 USING (e, m)), grid AS (SELECT *, CASE WHEN strict THEN c END AS cs FROM g0), gc AS (SELECT *, " + so_far("last_value(cs IGNORE NULLS)") + " AS carried FROM grid)"
+    regular = "paid0 AS (SELECT e, m, arg_min(d, c) AS d, min(c) AS c FROM (SELECT e, m, cd3 AS c, sum(divamt) AS d FROM distributions WHERE cd1 = 1 AND cd2 = 2 GROUP BY e, m, cd3) GROUP BY e, m), flags AS (SELECT e, m, bool_or(shrcd IN (10, 11, 12) AND exchcd IN (1, 2, 3)) AS strict, max(prc) AS prc FROM stock_month GROUP BY e, m), g0 AS (SELECT s.e, s.m, coalesce(strict, false) AS strict, prc, d, c FROM spine s LEFT JOIN flags USING (e, m) LEFT JOIN paid0 USING (e, m)), grid AS (SELECT *, CASE WHEN strict THEN c END AS cs FROM g0), gc AS (SELECT *, " + so_far("last_value(cs IGNORE NULLS)") + " AS carried FROM grid)"
     passes = ", ".join(f"NOT coalesce({lag('pd', k)} <= 0, false) AS p{k}" for k in (2, 5, 8, 11))
     table_case("event__seasonal_dividend_indicator", "seasonal_dividend_indicator()", dt, f"{_SPINE}, {regular}, k AS (SELECT *, strict AND carried IS NOT NULL AND carried <> 2 AND carried < 6 AS keep FROM gc), s AS (SELECT *, CASE WHEN keep THEN CASE WHEN coalesce(d, 0) > 0 THEN 1.0 ELSE 0 END END AS pd, m BETWEEN min(CASE WHEN keep THEN m END) OVER (PARTITION BY e) AND max(CASE WHEN keep THEN m END) OVER (PARTITION BY e) AS inside FROM k), q AS (SELECT *, {passes}, {frame('sum(pd)', 11)} AS recent, CASE WHEN strict THEN carried END AS code FROM s), z AS (SELECT e, m, CASE WHEN inside THEN CASE WHEN (coalesce(code IN (0, 1, 3), false) AND (p2 OR p5 OR p8 OR p11)) OR (coalesce(code = 4, false) AND (p5 OR p11)) OR (coalesce(code = 5, false) AND p11) THEN 1 WHEN recent > 0 THEN 0 END END AS v FROM q)")
-    # Results of more than one regressor or of long chains: held against numpy in the tests.
+    yields = regular.replace("cd2 = 2 GROUP", "cd2 = 2 AND cd3 IN (3, 4, 5) GROUP")
+    table_case("event__divyieldst_signal", "divyieldst_signal(D.divamt, D.distcd, C.prc)", dt, f"{_SPINE}, {yields}, a AS (SELECT *, CASE WHEN strict THEN coalesce(d, 0) END AS d0, CASE WHEN strict THEN carried END AS code FROM gc), b AS (SELECT *, {lag('d0', 2)} AS l2, {lag('d0', 5)} AS l5, {lag('d0', 11)} AS l11, {frame('sum(d0)', 11)} AS year FROM a), r AS (SELECT *, CASE WHEN year > 0 AND strict THEN CASE WHEN code = 4 THEN l5 WHEN code = 5 THEN l11 ELSE l2 END / nullif(abs(prc), 0) END AS r FROM b), x AS (SELECT *, CASE WHEN r > 0 THEN r END AS x FROM r), q AS (SELECT *, list_distinct([quantile_cont(x, 1 / 3) OVER (PARTITION BY m), quantile_cont(x, 2 / 3) OVER (PARTITION BY m)]) AS cuts, min(x) OVER (PARTITION BY m) AS lo, max(x) OVER (PARTITION BY m) AS hi FROM x), z AS (SELECT e, m, CASE WHEN r = 0 THEN 0 WHEN x IS NOT NULL AND lo < hi THEN 1 + len(list_filter(cuts, lambda v: v > lo AND v < hi AND v < x)) END AS v FROM q)")
+    CASES.update(_values())
+    CASES["join__rd_ability_signal"] = _ability()
+    CASES["join__ms_signal"] = _ms()
+    CASES["event__announcement_return_signal"] = _announcements()
+    # Solutions of least norm, and collinear regressors: held against numpy in tests/test_kernels.py.
     for name, formula in {
         "join__abnormal_accruals_signal": "abnormal_accruals_signal()",
-        "join__analyst_value_signal": "analyst_value_signal()",
-        "join__analyst_optimism_ratio": "analyst_optimism_ratio()",
         "join__predicted_forecast_error": "predicted_forecast_error(growth_rows=24)",
-        "join__rd_ability_signal": "rd_ability_signal(years=5, min_pairs=3)",
-        "join__ms_signal": MS,
-        "event__divyieldst_signal": "divyieldst_signal(D.divamt, D.distcd, C.prc)",
-        "event__announcement_return_signal": "announcement_return_signal()",
-        "regress__frontier_signal": "frontier_signal(A.at, A.ceq, A.dltt, A.capx, A.sale, A.xrd, A.xad, A.ppent, A.ebitda, C.mve_permco, industry48(C.sicCRSP))",
         "regress__intangible_residual": "intangible_residual(C.prc, C.ret)",
-        "regress__ff3_idio_std": "ff3_idio_stat(stat='std')",
-        "regress__ff3_idio_skew": "ff3_idio_stat(stat='skew')",
-        "regress__monthly_rolling_multibeta": "monthly_rolling_multibeta(regressors=['liquidity_month:ps_innov_pit', 'factors_month:mktrf', 'factors_month:hml', 'factors_month:smb'], keep=0, window=60, min_obs=36)",
-        "regress__residual_momentum": "residual_momentum(reg_window=36, mom_window=11)",
-        "regress__price_delay_slope": "price_delay(stat='slope')",
-        "regress__price_delay_rsq": "price_delay(stat='rsq')",
-        "regress__price_delay_tstat": "price_delay(stat='tstat')",
-        "regress__coskew_monthly": "coskew_signal(variant='monthly')",
-        "regress__coskew_daily": "coskew_signal(variant='daily')",
-        "regress__betafp_signal": "betafp_signal()",
         "regress__trendfactor_signal": "trendfactor_signal(windows=[3, 5, 10, 20, 50])",
     }.items():
         rows_only(name, formula)
 
 
+def valuation(growth_rows: int = 60) -> str:
+    """CTEs up to june(e, m, value, optimism, roe, froe1, sg, bm, ltg): the analysts' values of each June."""
+    div = lambda a, b: f"({ratio(a, b)})"
+    estimate = lambda name, fpi, more, shift: f"{name} AS (SELECT ticker, CAST(m + {shift} AS INT) AS m, max(meanest) AS {name} FROM estimates WHERE fpi = '{fpi}'{more} GROUP BY 1, 2)"
+    may = " AND month(statpers) = 5"
+    steps = [
+        ("ca", "CASE WHEN ceq_l IS NULL THEN ceq ELSE (ceq + ceq_l) / 2 END, shrout * prc AS me"),
+        ("roe", f"{div('ibcom', 'ca')}, {div('feps1 * shrout', 'ca')} AS froe1, CASE WHEN ibcom < 0 THEN {div('dvc', '0.06 * ta')} ELSE {div('dvc', 'ibcom')} END AS k"),
+        ("b1", "ceq * (1 + froe1 * (1 - k)), ceq * (1 + roe * (1 - k)) AS h1"),
+        ("f2", f"{div('feps2 * shrout', '(b1 + ceq) / 2')}, b1 * (1 + froe1 * (1 - k)) AS b2, h1 * (1 + roe * (1 - k)) AS h2"),
+        ("f3", f"CASE WHEN ltg IS NULL THEN f2 ELSE {div('feps2 * (1 + ltg / 100) * shrout', '(b1 + b2) / 2')} END, b2 * (1 + f2 * (1 - k)) AS b3"),
+        ("av", f"{div('b1 + (froe1 - 0.12) / 1.12 * b1 + (f2 - 0.12) / (1.12 * 1.12) * b2 + (f3 - 0.12) / (1.12 * 1.12) / 0.12 * b3', 'me')}, {div('h1 + (roe - 0.12) / 1.12 * h1 + (roe - 0.12) / 1.12 / 0.12 * h2', 'me')} AS iv"),
+    ]
+    out = f"""{estimate('feps1', '1', may + ' AND fpedats > statpers + 30', 1)}, {estimate('feps2', '2', may, 1)}, {estimate('ltg', '0', '', 0)},
+shares AS (SELECT e, m, max(shrout) AS shrout FROM stock_month GROUP BY e, m),
+stated AS (SELECT e, m, datadate, ceq, ibcom, sale, dvc, statement_month."at" AS ta FROM statement_month),
+v0 AS (SELECT u.e, u.m, u.ticker, abs(u.prc) AS prc, shrout, datadate, ceq, ibcom, dvc, ta, {div('sale', f'lag(sale, {growth_rows}) OVER (PARTITION BY u.e ORDER BY u.m)')} AS sg FROM universe u LEFT JOIN shares USING (e, m) LEFT JOIN stated USING (e, m)),
+v1 AS (SELECT v0.*, lag(ceq) OVER (PARTITION BY e ORDER BY m) AS ceq_l FROM v0 WHERE m % 12 = 5),
+v2 AS (SELECT v1.*, feps1, feps2, ltg FROM v1 LEFT JOIN feps1 USING (ticker, m) LEFT JOIN feps2 USING (ticker, m) LEFT JOIN ltg USING (ticker, m))"""
+    last = "v2"
+    for k, (name, expr) in enumerate(steps):
+        out += f",\nw{k} AS (SELECT *, {_aliased(expr, name)} FROM {last})"
+        last = f"w{k}"
+    nothing = "CASE WHEN ibcom < 0 THEN dvc IS NULL OR ta IS NULL ELSE dvc IS NULL OR ibcom IS NULL END"
+    screen = f"ceq > 0 AND (coalesce(abs(roe) <= 1, false) OR ibcom IS NULL) AND (coalesce(abs(froe1) <= 1, false) OR shrout IS NULL) AND (coalesce(k <= 1, false) OR {nothing}) AND month(datadate) >= 6 AND feps1 IS NOT NULL AND feps2 IS NOT NULL"
+    return f"{out},\njune AS (SELECT e, m, av AS value, {div('av - iv', 'abs(iv)')} AS optimism, roe, froe1, sg, {div('ceq', 'me')} AS bm, ltg FROM {last} WHERE {screen})"
+
+
+def _aliased(expr: str, name: str) -> str:
+    """``name`` put behind the first of several select expressions (further ones have theirs)."""
+    depth = 0
+    for i, c in enumerate(expr):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            return f"{expr[:i]} AS {name}{expr[i:]}"
+    return f"{expr} AS {name}"
+
+
+VALUATION_TABLES = ["stock_month", "universe", "estimates", "statement_month"]
+
+
+def _values() -> dict[str, tuple[str, str]]:
+    out = {}
+    for name, formula, column in (("join__analyst_value_signal", "analyst_value_signal()", "value"), ("join__analyst_optimism_ratio", "analyst_optimism_ratio()", "optimism")):
+        table_case(name, formula, VALUATION_TABLES, f"{_SPINE}, {valuation()}, z AS (SELECT e, CAST(m + k AS INT) AS m, {column} AS v FROM june, range(0, 12) t(k))")
+        out[name] = CASES[name]
+    return out
+
+
+def _ability() -> tuple[str, str]:
+    body = f"{_SPINE}, a AS (SELECT firm, e, m, datadate, fyear, xrd, CASE WHEN sale > 0 THEN sale END AS s, CASE WHEN xrd >= 0 THEN xrd END AS r FROM statement_year), b AS (SELECT *, ln(s / lag(s) OVER w) AS y, ln(1 + r / s) AS x, fyear - row_number() OVER w AS run FROM a WINDOW w AS (PARTITION BY firm ORDER BY fyear))"
+    lags = ", ".join(f"(SELECT o.x FROM b o WHERE o.firm = b.firm AND o.fyear = b.fyear - {n}) AS x{n}" for n in range(1, 6))
+    body += f", c AS (SELECT *, {lags} FROM b)"
+    slope = lambda n: f"(SELECT CASE WHEN count(*) >= 3 AND min(o.x{n}) < max(o.x{n}) THEN regr_slope(o.y, o.x{n}) END FROM c o WHERE o.firm = c.firm AND o.fyear BETWEEN c.fyear - 4 AND c.fyear AND o.y IS NOT NULL AND o.x{n} IS NOT NULL)"
+    rare = lambda n: f"(SELECT count(*) >= 3 AND avg(CASE WHEN o.x{n} > 0 THEN 1.0 ELSE 0 END) < 0.5 FROM c o WHERE o.firm = c.firm AND o.run = c.run AND o.fyear BETWEEN c.fyear - 4 AND c.fyear)"
+    body += ", d AS (SELECT *, " + ", ".join(f"CASE WHEN NOT {rare(n)} THEN {slope(n)} END AS g{n}" for n in range(1, 6)) + " FROM c)"
+    body += ", f AS (SELECT firm, e, m, datadate, list_avg(list_filter([g1, g2, g3, g4, g5], lambda v: v IS NOT NULL)) AS g, CASE WHEN xrd > 0 THEN xrd / s END AS i FROM d)"
+    body += ", q AS (SELECT *, list_distinct([quantile_cont(i, 1 / 3) OVER (PARTITION BY m), quantile_cont(i, 2 / 3) OVER (PARTITION BY m)]) AS cuts, min(i) OVER (PARTITION BY m) AS lo, max(i) OVER (PARTITION BY m) AS hi FROM f)"
+    body += ", stamped AS (SELECT e, m, CASE WHEN i IS NOT NULL AND lo < hi AND 1 + len(list_filter(cuts, lambda v: v > lo AND v < hi AND v < i)) = 3 THEN g END AS v FROM q), "
+    table_case("join__rd_ability_signal", "rd_ability_signal(years=5, min_pairs=3)", ["stock_month", "statement_year"], body + _held(12))
+    return CASES["join__rd_ability_signal"]
+
+
+def _ms() -> tuple[str, str]:
+    """The sample first, then everything over its rows alone."""
+    q = lambda c: f"CASE WHEN fqtr = 1 THEN {c} WHEN fqtr > 1 THEN {c} - lag({c}, 3) OVER w END AS {c}q"
+    year = lambda c: f"CASE WHEN count({c}) OVER y = 12 THEN 4 * avg({c}) OVER y END"
+    sd = lambda c: f"CASE WHEN count({c}) OVER f >= 18 THEN stddev_samp({c}) OVER f END"
+    top = lambda c: f"coalesce({c}, CAST('inf' AS DOUBLE))"
+    median = lambda c: top(f"median({c}) OVER g")
+    div = lambda a, b: f"({ratio(a, b)})"
+    owner = "owner AS (SELECT firm, m, min(e) AS e FROM universe WHERE firm IS NOT NULL GROUP BY firm, m), qs AS (SELECT o.e, o.m, max(niq) AS niq, max(atq) AS atq, max(saleq) AS saleq, max(oancfy) AS oancfy, max(capxy) AS capxy, max(xrdq) AS xrdq, max(fqtr) AS fqtr FROM statement_quarter s JOIN owner o ON s.firm = o.firm AND s.m = o.m GROUP BY o.e, o.m)"
+    finite = lambda x: f"CASE WHEN abs({x}) < CAST('inf' AS DOUBLE) THEN {x} END"
+    body = f"""{_SPINE}, {owner},
+st AS (SELECT e, m, max(datadate) AS datadate, max(ceq) AS ceq, max(fopt) AS fopt, max(wcapch) AS wcapch, max(xad) AS xad FROM statement_month GROUP BY e, m),
+sk AS (SELECT e, m, max(mve_permco) AS me, max(sicCRSP) AS sic FROM stock_month GROUP BY e, m HAVING bool_or(shrcd IN (10, 11, 12) AND exchcd IN (1, 2, 3))),
+a AS (SELECT sk.*, st.* EXCLUDE (e, m), CASE WHEN me > 0 THEN ln(ceq / me) END AS bm FROM sk JOIN st USING (e, m) WHERE ceq > 0),
+b AS (SELECT *, quantile_cont(bm, 0.2) OVER (PARTITION BY m) AS c1, min(bm) OVER (PARTITION BY m) AS lo, max(bm) OVER (PARTITION BY m) AS hi FROM a),
+c AS (SELECT *, substr(CAST(CAST(floor(sic) AS BIGINT) AS VARCHAR), 1, 2) AS ind FROM b WHERE bm IS NOT NULL AND lo < hi AND NOT (c1 > lo AND c1 < hi AND c1 < bm)),
+d AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY ind, m) AS n FROM c WHERE ind IS NOT NULL) WHERE n >= 3),
+k AS (SELECT d.*, niq, atq, saleq, oancfy, capxy, coalesce(xrdq, 0) AS xrdq, fqtr FROM d LEFT JOIN qs USING (e, m)),
+k1 AS (SELECT *, {q('capxy')}, {q('oancfy')}, lag(atq, 3) OVER w AS old, {div('saleq', 'lag(saleq, 3) OVER w')} AS sg0, {div('niq', 'atq')} AS rq0 FROM k WINDOW w AS (PARTITION BY e ORDER BY m)),
+k2 AS (SELECT *, {finite('sg0')} AS sg, {finite('rq0')} AS rq FROM k1),
+k3 AS (SELECT *, {year('niq')} AS ni, {year('xrdq')} AS xr, {year('capxyq')} AS cx, CASE WHEN year(datadate) <= 1988 THEN fopt - wcapch ELSE {year('oancfyq')} END AS cf, {sd('rq')} AS v1, {sd('sg')} AS v2 FROM k2 WINDOW y AS (PARTITION BY e ORDER BY m RANGE BETWEEN 11 PRECEDING AND CURRENT ROW), f AS (PARTITION BY e ORDER BY m RANGE BETWEEN 47 PRECEDING AND CURRENT ROW)),
+k4 AS (SELECT *, {div('ni', '(atq + old) / 2')} AS a1, {div('cf', '(atq + old) / 2')} AS a2, {div('xr', 'old')} AS a3, {div('cx', 'old')} AS a4, {div('coalesce(xad, 0)', 'old')} AS a5 FROM k3),
+k5 AS (SELECT *, {' + '.join(f"CASE WHEN {top(x)} > {median(x)} THEN 1 ELSE 0 END" for x in ('a1', 'a2', 'a3', 'a4', 'a5'))} + {' + '.join(f"CASE WHEN {top(x)} < {median(x)} THEN 1 ELSE 0 END" for x in ('v1', 'v2'))} + CASE WHEN {top('cf')} > {top('ni')} THEN 1 ELSE 0 END AS score FROM k4 WINDOW g AS (PARTITION BY ind, m)),
+k6 AS (SELECT *, CASE WHEN NOT coalesce(m % 12 + 1 <> (month(datadate) + 6) % 12, false) THEN least(greatest(score, 1), 6) END AS told FROM k5),
+z AS (SELECT e, m, {so_far('last_value(told IGNORE NULLS)')} AS v FROM k6)"""
+    table_case("join__ms_signal", MS, ["stock_month", "statement_month", "statement_quarter", "universe"], body)
+    return CASES["join__ms_signal"]
+
+
+def _announcements() -> tuple[str, str]:
+    """Each trading row goes to the announcement that claims it last: itself, the next row's, the one after, the one before."""
+    body = f"""{_SPINE},
+k AS (SELECT DISTINCT firm, e, first_day, coalesce(last_day, DATE '2999-12-31') AS last_day FROM links),
+ev AS (SELECT DISTINCT k.e, s.rdq AS d FROM (SELECT DISTINCT firm, rdq FROM statement_quarter WHERE rdq IS NOT NULL) s JOIN k ON s.firm = k.firm AND s.rdq BETWEEN first_day AND last_day),
+alive AS (SELECT DISTINCT s.e, s.d, s.ret FROM stock_day s JOIN k ON s.e = k.e AND s.d BETWEEN first_day AND last_day),
+r AS (SELECT a.e, a.d, ret - mktrf - rf AS x, row_number() OVER (PARTITION BY a.e ORDER BY a.d) AS i, ev.e IS NOT NULL AS ann FROM alive a JOIN factors_day f ON a.d = f.d LEFT JOIN ev ON ev.e = a.e AND ev.d = a.d),
+o AS (SELECT e, d, x, CASE WHEN coalesce(lag(ann) OVER w, false) THEN i - 1 WHEN coalesce(lead(ann, 2) OVER w, false) THEN i + 2 WHEN coalesce(lead(ann) OVER w, false) THEN i + 1 WHEN ann THEN i END AS t FROM r WINDOW w AS (PARTITION BY e ORDER BY i)),
+g AS (SELECT e, t, coalesce(sum(x), 0) AS v, {_month('max(d)')} AS m FROM o WHERE t IS NOT NULL GROUP BY e, t),
+stamped AS (SELECT e, m, arg_max(v, t) AS v, max(m) OVER (PARTITION BY e) AS fin FROM g GROUP BY e, m),
+z AS (SELECT e, m, v FROM (SELECT e, CAST(m + k AS INT) AS m, v, fin, row_number() OVER (PARTITION BY e, m + k ORDER BY k) AS rn FROM stamped, range(0, 7) t(k)) WHERE rn = 1 AND m <= fin)"""
+    table_case("event__announcement_return_signal", "announcement_return_signal()", ["stock_month", "stock_day", "factors_day", "links", "statement_quarter"], body)
+    return CASES["event__announcement_return_signal"]
+
+
 def tree(name: str) -> Expr:
     return parse(CASES[name][0], shared(), DATASETS)
 

@@ -26,16 +26,16 @@ def _max(columns: list[str], alias: str) -> str:
     return ", ".join(f"max({alias}.{c}) AS {c}" for c in columns)
 
 
-def base(reach: int) -> str:
+def base(reach: int, statement: list[str] = STATEMENT) -> str:
     """CTEs up to ``p``: spine months up to ``reach`` after an entity's last, flags, and leaf columns."""
     tables = duckdb_with("stock_month", "statement_month", "universe")
     return f"""WITH {tables},
 seen AS (SELECT e, m, bool_or(coalesce(shrcd IN (10, 11, 12) AND exchcd IN (1, 2, 3), false)) AS strict, {_max(STOCK, 'stock_month')} FROM stock_month GROUP BY e, m),
 ends AS (SELECT e, min(m) AS lo, max(m) AS hi FROM seen GROUP BY e),
 months AS (SELECT e, CAST(unnest(range(lo, least(hi + {reach}, (SELECT max(hi) FROM ends)) + 1)) AS INT) AS m FROM ends),
-stated AS (SELECT e, m, max(sic) AS sic, max(sich) AS sich, max(year(datadate) * 12 + month(datadate) - 1) AS datadate, {_max(STATEMENT, 'statement_month')} FROM statement_month GROUP BY e, m),
+stated AS (SELECT e, m, max(sic) AS sic, max(sich) AS sich, max(year(datadate) * 12 + month(datadate) - 1) AS datadate, {_max(statement, 'statement_month')} FROM statement_month GROUP BY e, m),
 firms AS (SELECT DISTINCT e, m FROM universe WHERE firm IS NOT NULL),
-p AS (SELECT a.e, a.m, coalesce(b.strict, false) AS strict, b.e IS NOT NULL AS listed, c.e IS NOT NULL AS compustat, d.e IS NOT NULL AS linked, {', '.join('b.' + x for x in STOCK)}, c.sic, c.sich, c.datadate, {', '.join('c.' + x for x in STATEMENT)}
+p AS (SELECT a.e, a.m, coalesce(b.strict, false) AS strict, b.e IS NOT NULL AS listed, c.e IS NOT NULL AS compustat, d.e IS NOT NULL AS linked, {', '.join('b.' + x for x in STOCK)}, c.sic, c.sich, c.datadate, {', '.join('c.' + x for x in statement)}
   FROM months a LEFT JOIN seen b ON a.e = b.e AND a.m = b.m LEFT JOIN stated c ON a.e = c.e AND a.m = c.m LEFT JOIN firms d ON a.e = d.e AND a.m = d.m)"""
 
 
@@ -46,7 +46,12 @@ def steps(reach: int, value: str, *before: tuple[str, str]) -> str:
         out += f",\ns{k} AS (SELECT *, {expr} AS {name} FROM {last})"
         last = f"s{k}"
     out = f"{out},\nz AS (SELECT e, m, CAST({value} AS DOUBLE) AS v FROM {last})\nSELECT e, m, {ROUNDED} AS value FROM z WHERE v IS NOT NULL AND NOT isnan(v)"
-    return re.sub(r'(?<![\w."])at(?![\w"])', '"at"', out)  # a keyword there
+    return sql_names(out)
+
+
+def sql_names(sql: str) -> str:
+    """``at`` is a keyword there."""
+    return re.sub(r'(?<![\w."])at(?![\w"])', '"at"', sql)
 
 
 def lag(x: str, n: int) -> str:
@@ -232,13 +237,13 @@ def _fill() -> None:
     metrics = ["ib", "cash", "d1", "cash - ib", "d2", "d3", "d4", "d5", "d6"]
     inf = "CAST('inf' AS DOUBLE)"
     edge = lambda x: f"(CASE WHEN abs({x}) < {inf} THEN {x} ELSE {inf} END)"
-    u = [(f"u_{c}", f"CASE WHEN strict THEN {c} END") for c in ("fopt", "oancf", "ib", "at", "dltt", "act", "lct", "txt", "xint", "sale", "ceq", "mve_permco", "shrout")]
+    u = [(f"u_{c}", f"CASE WHEN strict AND compustat AND listed THEN {c} END") for c in ("fopt", "oancf", "ib", "at", "dltt", "act", "lct", "txt", "xint", "sale", "ceq", "mve_permco", "shrout")]
     change = lambda a, b: (f"({ratio('u_' + a, 'u_' + b)})")
     ratios = [("q1", change("ib", "at")), ("q2", change("dltt", "at")), ("q3", change("act", "lct")), ("q5", change("sale", "at")), ("ebit", "u_ib + u_txt + u_xint"), ("sale12", lag("u_sale", 12)), ("cash", "coalesce(u_fopt, u_oancf)")]
-    ratios += [("d1", f"q1 - {lag('q1', 12)}"), ("d2", f"q2 - {lag('q2', 12)}"), ("d3", f"q3 - {lag('q3', 12)}"), ("d4", f"({ratio('ebit', 'u_sale')}) - ({ratio('ebit', 'sale12')})"), ("d5", f"q5 - {lag('q5', 12)}"), ("d6", f"{lag('u_shrout', 12)} - u_shrout"), ("bm0", ratio("u_ceq", "u_mve_permco")), ("bm", log("bm0")), *qcut_steps("b", "bm", 5)]
+    ratios += [("d1", f"q1 - {lag('q1', 12)}"), ("d2", f"q2 - {lag('q2', 12)}"), ("d3", f"q3 - {lag('q3', 12)}"), ("d4", f"({ratio('ebit', 'u_sale')}) - ({ratio('ebit', 'sale12')})"), ("d5", f"q5 - {lag('q5', 12)}"), ("d6", f"{lag('u_shrout', 12)} - u_shrout"), ("bm0", ratio("CASE WHEN u_ceq > 0 THEN u_ceq END", "u_mve_permco")), ("bm", fin(log("bm0"))), *qcut_steps("b", "bm", 5)]
     del metrics
     points = [f"CASE WHEN {edge('u_ib')} > 0 THEN 1 ELSE 0 END", f"CASE WHEN {edge('cash')} > 0 THEN 1 ELSE 0 END", f"CASE WHEN {edge('(cash - u_ib)')} > 0 THEN 1 ELSE 0 END", f"CASE WHEN {edge('d2')} < 0 THEN 1 ELSE 0 END", f"CASE WHEN {edge('d6')} >= 0 THEN 1 ELSE 0 END"] + [f"CASE WHEN {edge(d)} > 0 THEN 1 ELSE 0 END" for d in ("d1", "d3", "d4", "d5")]
-    case("xs__piotroski_score", "piotroski_score(A.fopt, A.oancf, A.ib, A.at, A.dltt, A.act, A.lct, A.txt, A.xint, A.sale, A.ceq, C.mve_permco, C.shrout)", "CASE WHEN b = 5 AND " + " AND ".join(f"{c} IS NOT NULL" for c in ("cash", "u_ib", "u_at", "u_dltt", "u_act", "u_lct", "u_sale", "u_shrout")) + " THEN " + " + ".join(points) + " END", *u, *ratios)
+    case("xs__piotroski_score", "piotroski_score(A.fopt, A.oancf, A.ib, A.at, A.dltt, A.act, A.lct, A.txt, A.xint, A.sale, A.ceq, C.mve_permco, C.shrout)", "CASE WHEN b = 5 AND " + " AND ".join(f"{c} IS NOT NULL" for c in ("cash", "u_ib", "u_at", "u_dltt", "u_act", "ebit", "u_sale", "u_shrout")) + " THEN " + " + ".join(points) + " END", *u, *ratios)
 
 
 def flagship() -> str:

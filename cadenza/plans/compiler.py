@@ -1,7 +1,7 @@
 """From expression trees to one DataFrame.
 
 Trees are interned by structural hash, so a sub-expression that several factors share becomes one column.  Leaves of one
-table are read by one aggregate and one join, whatever their number.  Everything after the spine is a column of one
+table are read by one aggregate and one join, whatever their number, and those of the spine's tables by its own.  Everything after the spine is a column of one
 growing select: Catalyst merges the projections, and windows of one entity share a shuffle and a sort.
 """
 
@@ -24,18 +24,33 @@ TICKER = ("estimates", "estimates_adjusted", "recommendations", "actuals")
 EVENT = ("distributions",)
 
 
-def spine(tables: Tables, reach: int) -> DataFrame:
-    """Months of each entity from its first to ``reach`` after its last, up to the last month of all, with row flags."""
-    stock = tables("stock_month")
-    rows = stock.groupBy("e", "m").agg(F.max(F.coalesce(F.col("shrcd").isin(10, 11, 12) & F.col("exchcd").isin(1, 2, 3), F.lit(False))).alias("strict"))
-    ends = rows.groupBy("e").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+#: Datasets whose rows make up the spine and its flags.
+SPINE = ("stock_month", "statement_month")
+
+
+def spine(tables: Tables, reach: int, leaves: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """Months of each entity from its first to ``reach`` after its last, up to the last month of all, with row flags.
+
+    ``leaves``: columns of the tables of ``SPINE`` that come along, from the same aggregates as the flags.
+    """
+    columns = {d: [_value(tables(d), c).alias(f"{d}__{c}") for c in (leaves or {}).get(d, [])] for d in SPINE}
+    strict = F.max(F.coalesce(F.col("shrcd").isin(10, 11, 12) & F.col("exchcd").isin(1, 2, 3), F.lit(False)))
+    rows = tables("stock_month").groupBy("e", "m").agg(strict.alias("strict"), F.lit(True).alias("listed"), *columns["stock_month"])
+    ends = tables("stock_month").groupBy("e").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
     last = F.broadcast(ends.agg(F.max("hi").alias("end")))
     months = ends.crossJoin(last).select("e", F.explode(F.sequence("lo", F.least(F.col("hi") + reach, "end"))).alias("m"))
-    statement = tables("statement_month").select("e", "m").where("e IS NOT NULL").distinct().withColumn("compustat", F.lit(True))
+    statement = tables("statement_month").where("e IS NOT NULL").groupBy("e", "m").agg(F.lit(True).alias("compustat"), *columns["statement_month"])
     firm = tables("universe").where("firm IS NOT NULL").select("e", "m").distinct().withColumn("linked", F.lit(True))
-    joined = months.join(rows.withColumn("listed", F.lit(True)), ["e", "m"], "left").join(statement, ["e", "m"], "left").join(firm, ["e", "m"], "left")
+    joined = months.join(rows, ["e", "m"], "left").join(statement, ["e", "m"], "left").join(firm, ["e", "m"], "left")
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("strict", "listed", "compustat", "linked")}
-    return joined.select("e", "m", *(v.alias(k) for k, v in flags.items()))
+    return joined.select("e", "m", *(v.alias(k) for k, v in flags.items()), *(c for c in joined.columns if "__" in c))
+
+
+def _value(df: DataFrame, column: str, event: bool = False) -> Column:
+    """One value for each cell: doubles, or strings where they are strings; dates become month numbers."""
+    kind = dict(df.dtypes)[column]
+    value = F.col(column) if kind == "string" else clean(F.year(column) * 12 + F.month(column) - 1 if kind == "date" else F.col(column))
+    return F.sum(value) if event and column == "divamt" else F.max(value)
 
 
 def _filtered(df: DataFrame, params: tuple[tuple[str, object], ...]) -> DataFrame:
@@ -52,11 +67,7 @@ def leaf_rows(tables: Tables, dataset: str, columns: list[str], params: tuple[tu
         df = df.join(owner, ["firm", "m"])
     elif dataset in TICKER:
         df = df.join(first_by(tables("universe").where("ticker IS NOT NULL").select("e", "m", "ticker"), ["ticker", "m"], "e"), ["ticker", "m"])
-    kind = dict(df.dtypes)
-    as_number = lambda c: F.year(c) * 12 + F.month(c) - 1 if kind[c] == "date" else F.col(c)
-    value = lambda c: F.col(c) if kind[c] == "string" else clean(as_number(c))
-    pick = (lambda c: F.sum(value(c)) if c == "divamt" else F.max(value(c))) if dataset in EVENT else (lambda c: F.max(value(c)))
-    return df.groupBy("e", "m").agg(*(pick(c).alias(c) for c in columns))
+    return df.groupBy("e", "m").agg(*(_value(df, c, dataset in EVENT).alias(c) for c in columns))
 
 
 class Library:
@@ -69,18 +80,22 @@ class Library:
         nodes: dict[str, Expr] = {}
         for tree in trees.values():
             nodes |= tree.nodes()
-        stage = Stage(spine(self.tables, min(600, max((t.reach for t in trees.values()), default=0))), self.tables)
         made: dict[str, Column] = {}
         leaves: dict[tuple, list[Expr]] = {}
         for node in nodes.values():
             if node.kind == "var":
                 leaves.setdefault((node.name.split(".")[0], node.params), []).append(node)
+        named = {key: sorted({n.name.split(".")[1] for n in group}) for key, group in leaves.items()}
+        reach = min(600, max((t.reach for t in trees.values()), default=0))
+        stage = Stage(spine(self.tables, reach, {d: named[d, ()] for d in SPINE if (d, ()) in named}), self.tables)
         for k, ((dataset, params), group) in enumerate(leaves.items()):
-            columns = sorted({n.name.split(".")[1] for n in group})
-            rows = leaf_rows(self.tables, dataset, columns, params).withColumnsRenamed({c: f"_l{k}_{c}" for c in columns})
-            stage.df = stage.df.join(rows, ["e", "m"], "left")
+            prefix = f"{dataset}__"
+            if dataset not in SPINE or params:
+                prefix = f"_l{k}_"
+                rows = leaf_rows(self.tables, dataset, named[dataset, params], params).withColumnsRenamed({c: prefix + c for c in named[dataset, params]})
+                stage.df = stage.df.join(rows, ["e", "m"], "left")
             for n in group:
-                made[n.key] = F.col(f"_l{k}_{n.name.split('.')[1]}")
+                made[n.key] = F.col(prefix + n.name.split(".")[1])
         for key, node in nodes.items():
             if node.kind == "const":
                 made[key] = F.lit(node.value)

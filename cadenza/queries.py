@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.oracles import evaluation, kernels, panel
+from cadenza.oracles import catalogue, evaluation, kernels, panel, regressions  # noqa: F401 (adds its cases)
 from cadenza.plans.compiler import Library
 from cadenza.plans.expr import Expr
 from cadenza.sources.standins import standins
@@ -32,20 +32,11 @@ def evaluated(tree: Expr) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: evaluated(source.tree(name)) for source in (panel, kernels) for name in source.CASES}
-    return found | evaluation.QUERIES | {"catalogue__flagship": flagship_rounded} | {name: group(names) for name, names in GROUPS.items()}
+    return found | evaluation.QUERIES | {"catalogue__flagship": flagship_rounded} | {name: group(names) for name, names in catalogue.GROUPS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for source in (panel, kernels) for name, (_, sql) in source.CASES.items() if sql} | evaluation.SQL | {"catalogue__flagship": panel.flagship()}
-
-
-#: Groups of the catalogue that are evaluated together: one wide select each.
-GROUPS = {
-    "catalogue__valuation": "AM BM CF EP SP Leverage BookLeverage EBM BPEBM CashProd AdExp RD EntMult cfp".split(),
-    "catalogue__growth": "Accruals AssetGrowth ChInv ChNWC ChNNCOA DelCOA DelCOL DelEqu DelFINL DelLTI DelNetFin NOA dNoa InvestPPEInv grcapx TotalAccruals".split(),
-    "catalogue__momentum": "Mom6m Mom12m IntMom LRreversal MRreversal STreversal MomSeason MomSeasonShort MomOffSeason Mom12mOffSeason IndMom".split(),
-    "catalogue__trading": "Size Price DolVol VolMkt VolSD std_turn ShareVol ShareIss1Y ExchSwitch MomRev MomVol FirmAge VarCF".split(),
-}
+    return {name: sql for source in (panel, kernels) for name, (_, sql) in source.CASES.items() if sql} | evaluation.SQL | catalogue.SQL | {"catalogue__flagship": panel.flagship()}
 
 
 def group(names: list[str]) -> Query:

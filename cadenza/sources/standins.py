@@ -63,15 +63,24 @@ QUERIES: dict[str, str] = {
 DRIVER = ("lineitem", "supplier", "orders", "customer", "part", "events")
 
 
+#: Tables that others are made of, or that most queries read: computed once for a session.
+KEPT = ("priced", "stock_month", "statement_year", "statement_month", "statement_quarter", "universe", "stock_day", "factors_day")
+
+
 class Standins:
-    """Tables by name, each built once for a session and folder."""
+    """Tables by name, each built once for a session and folder.
+
+    The tables of ``KEPT`` stand for files that a user would have; they are persisted (a lost executor's parts are
+    computed again), so that queries do not each derive them anew.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._build(name)
+            made = self._build(name)
+            self._made[name] = made.persist() if name in KEPT else made
         return self._made[name]
 
     def _build(self, name: str) -> DataFrame:
@@ -85,8 +94,15 @@ class Standins:
         return self.spark.sql(QUERIES[name], **used)
 
 
+_OPEN: dict[tuple[str, str], Standins] = {}
+
+
 def standins(spark: SparkSession, sf_dir: str) -> Tables:
-    return Standins(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Standins(spark, sf_dir)
+    return _OPEN[key]
 
 
 def duckdb_with(*names: str) -> str:
