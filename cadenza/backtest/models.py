@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class Ridge:
-    """Linear model with centred features and penalty alpha on the slopes.
+def moment_matrix(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """Sums of products of (1, names): each batch of rows gives one matrix, and entries are added up by place.
 
-    The moment matrix is an aggregate of the cluster; only (features + 2) squared numbers come to the driver.
+    What reaches the driver is one matrix, whatever the number of rows or partitions.
     """
+    k = len(names) + 1
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for part in parts:
+            x = np.column_stack([np.ones(len(part)), part.to_numpy(float)])
+            total += x.T @ x
+        i, j = np.triu_indices(k)
+        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
+
+    sums = rows.select(*names).mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    out = np.zeros((k, k))
+    out[sums["i"], sums["j"]] = out[sums["j"], sums["i"]] = sums["s"]
+    return out
+
+
+class Ridge:
+    """Linear model with centred features and penalty alpha on the slopes."""
 
     def __init__(self, alpha: float = 1.0):
         self.alpha, self.names, self.coef, self.intercept = alpha, None, None, None
 
     def fit(self, rows: DataFrame, names: list[str], label: str = "label") -> Ridge:
-        terms = [F.lit(1.0), *(F.col(n).cast("double") for n in names), F.col(label).cast("double")]
-        k = len(terms)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = rows.agg(*(F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs)).first()
-        if not sums["s0_0"]:
+        m = moment_matrix(rows, [*names, label])
+        if not m[0, 0]:
             raise ValueError("no training rows")
-        m = np.zeros((k, k))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = sums[f"s{i}_{j}"]
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        n, mean, p = m[0, 0], m[0, 1:] / m[0, 0], len(names)
         centred = m[1:, 1:] - n * np.outer(mean, mean)
-        p = k - 2
         self.coef = np.linalg.solve(centred[:p, :p] + self.alpha * np.eye(p), centred[:p, p])
         self.intercept = mean[p] - self.coef @ mean[:p]
         self.names = list(names)

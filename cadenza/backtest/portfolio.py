@@ -14,20 +14,27 @@ from cadenza.operators.regression import grouped_ols
 
 
 def smooth(scores: DataFrame, periods: int) -> DataFrame:
-    """Mean of a stock's last ``periods`` scores."""
-    frame = W.partitionBy("stock").orderBy("date").rowsBetween(-(periods - 1), 0)
-    return scores.withColumn("score", F.avg("score").over(frame))
+    """Mean of a stock's scores on the last ``periods`` dates with scores; one that is missing on a date counts there too."""
+    d = F.broadcast(dates(scores))
+    end = F.broadcast(d.agg(F.max("t").alias("end")))
+    placed = scores.join(d, "date").crossJoin(end)
+    reached = placed.select("stock", F.explode(F.sequence("t", F.least(F.col("t") + periods - 1, "end"))).alias("t"), "score")
+    return reached.groupBy("stock", "t").agg(F.avg("score").alias("score")).join(d, "t").select("date", "stock", "score").where("score IS NOT NULL")
 
 
 def neutralize(scores: DataFrame, styles: DataFrame, names: list[str]) -> DataFrame:
-    """Residuals of the scores on style columns (date, stock, names), for each date; stocks without styles drop out."""
-    rows = scores.join(styles.select("date", "stock", *names), ["date", "stock"]).dropna()
-    fits = grouped_ols(rows, ["date"], "score", names, len(names) + 1)
+    """Residuals of the scores on style columns (date, stock, names), for each date; stocks without styles drop out.
+
+    Dates with fewer than two rows more than styles keep their scores.
+    """
+    rows = scores.where("score IS NOT NULL").join(styles.select("date", "stock", *names), ["date", "stock"], "left")
+    fits = grouped_ols(rows, ["date"], "score", names, len(names) + 2, least_norm=True)
     joined = rows.join(F.broadcast(fits), "date")
     fitted = F.col("b0")
     for i, n in enumerate(names, 1):
         fitted = fitted + F.col(f"b{i}") * F.col(n)
-    return joined.select("date", "stock", (F.col("score") - fitted).alias("score")).where("score IS NOT NULL")
+    score = F.when(F.col("b0").isNull(), F.col("score")).otherwise(F.col("score") - fitted)
+    return joined.select("date", "stock", score.alias("score")).where("score IS NOT NULL")
 
 
 def _books(scored: pd.DataFrame, n: int, exchange: float) -> pd.DataFrame:
@@ -42,12 +49,11 @@ def _books(scored: pd.DataFrame, n: int, exchange: float) -> pd.DataFrame:
             if not longs and not shorts:
                 longs, shorts = ranked[:n], ranked[-n:]
             else:
-                drop = math.ceil(exchange * n) if exchange > 0 else 0
+                # Names without a score go, and the worst of the others besides.
+                drop = min(n, math.ceil(exchange * n)) if exchange > 0 else 0
                 keep_l = sorted((s for s in longs if s in place), key=place.__getitem__)
                 keep_s = sorted((s for s in shorts if s in place), key=place.__getitem__, reverse=True)
-                gone_l, gone_s = len(longs) - len(keep_l), len(shorts) - len(keep_s)
-                keep_l = keep_l[: max(0, len(keep_l) - max(0, drop - gone_l))] if drop else keep_l
-                keep_s = keep_s[: max(0, len(keep_s) - max(0, drop - gone_s))] if drop else keep_s
+                keep_l, keep_s = keep_l[: max(0, len(keep_l) - drop)], keep_s[: max(0, len(keep_s) - drop)]
                 held = set(keep_l) | set(keep_s)
                 longs = keep_l + [s for s in ranked if s not in held][: n - len(keep_l)]
                 held |= set(longs)

@@ -79,10 +79,18 @@ def future_return(returns: DataFrame, periods: int = 1, delay: int = 1) -> DataF
     return rows.crossJoin(end).where((F.col("t") + delay + periods - 1 <= F.col("end")) & F.col("label").isNotNull()).select("date", "stock", "label")
 
 
-def future_spread(returns: DataFrame, periods: int = 1, delay: int = 1) -> DataFrame:
-    """The same less the equal-weight mean of the date."""
-    own = future_return(returns, periods, delay)
-    return own.select("date", "stock", (F.col("label") - F.avg("label").over(W.partitionBy("date"))).alias("label"))
+def future_spread(returns: DataFrame, periods: int = 1, delay: int = 1, benchmark: DataFrame | None = None) -> DataFrame:
+    """The same less the compounded return of ``benchmark`` (date, ret), or else of the dates' equal-weight means."""
+    means = returns.groupBy("date").agg(F.avg("ret").alias("ret")) if benchmark is None else benchmark.select("date", "ret")
+    whole = dates(returns).select("date").join(means, "date", "left").select("date", F.lit(0).alias("stock"), "ret")
+    market = future_return(whole, periods, delay).select("date", F.col("label").alias("market"))
+    own = future_return(returns, periods, delay).join(F.broadcast(market), "date")
+    return own.select("date", "stock", (F.col("label") - F.col("market")).alias("label"))
+
+
+def current_return(returns: DataFrame, delay: int = 0) -> DataFrame:
+    """(date, stock, label): the return of ``delay`` trading dates later."""
+    return aligned_returns(returns, delay).where("ret IS NOT NULL").withColumnRenamed("ret", "label")
 
 
 def valid_dates(factors: DataFrame, min_factors: int) -> DataFrame:
@@ -103,18 +111,24 @@ def fill_median_by_stock(factors: DataFrame) -> DataFrame:
     return factors.withColumn("value", F.coalesce(finite(F.col("value")), F.median(finite(F.col("value"))).over(part)))
 
 
-def fill_from_training(test: DataFrame, train: DataFrame) -> DataFrame:
-    """Missing test values: the stock's median in training, else the factor's."""
-    own = train.groupBy("factor", "stock").agg(F.median(finite(F.col("value"))).alias("own"))
+def fill_from_training(test: DataFrame, train: DataFrame, by_stock: bool = True) -> DataFrame:
+    """Missing test values: the stock's median in training (``by_stock``; the factor's, if it has none), the median of
+    the date, which counts those just filled, and at last the factor's median in training.
+    """
     every = F.broadcast(train.groupBy("factor").agg(F.median(finite(F.col("value"))).alias("every")))
-    joined = test.join(own, ["factor", "stock"], "left").join(every, "factor", "left")
-    return joined.withColumn("value", F.coalesce(finite(F.col("value")), "own", "every")).drop("own", "every")
+    rows = test.withColumn("value", finite(F.col("value"))).join(every, "factor", "left")
+    if by_stock:
+        own = train.groupBy("factor", "stock").agg(F.median(finite(F.col("value"))).alias("own"), F.lit(True).alias("known"))
+        rows = rows.join(own, ["factor", "stock"], "left").withColumn("value", F.coalesce("value", "own", F.when(F.col("known"), F.col("every")))).drop("own", "known")
+    middle = F.median("value").over(W.partitionBy("factor", "date"))
+    return rows.withColumn("value", F.coalesce("value", middle, "every")).select(*test.columns)
 
 
 def fit_scale(train: DataFrame) -> DataFrame:
-    """(factor, mean, sd): pooled over dates and stocks; a deviation of 0 counts as 1."""
-    sd = F.stddev_samp("value")
-    return train.groupBy("factor").agg(F.avg("value").alias("mean"), F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("sd"))
+    """(factor, mean, sd): pooled over dates and stocks, finite values only; a deviation of 0 counts as 1."""
+    value = finite(F.col("value"))
+    sd = F.stddev_samp(value)
+    return train.groupBy("factor").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("sd"))
 
 
 def apply_scale(rows: DataFrame, scale: DataFrame) -> DataFrame:
