@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.oracle(), "op9_license_scan": licenses.oracle()}
+    return {"op2_line_dedup": linededup.oracle(), "op7_decontamination": decontaminate.oracle(), "op9_license_scan": licenses.oracle()}
