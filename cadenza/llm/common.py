@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Keys that may be joined by broadcast for being hot: each has more than one row in so many.
+HOT_KEYS = 1000
+
+
+def join_with_hot_keys(rows: DataFrame, unique: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``unique`` (one row for each value of ``keys``, which names its number of ``rows``).
+
+    Keys that hold more than one in ``HOT_KEYS`` of all ``total`` rows, which are fewer than ``HOT_KEYS``, are broadcast,
+    so their rows stay where they are; the others are shuffled, and none of them fills a task.
+    """
+    edge = max(10_000, total // HOT_KEYS)
+    hot = F.broadcast(unique.where(F.col(count) > edge).drop(count))
+    cold = unique.where(F.col(count) <= edge).drop(count)
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,3 +84,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id):
     """True where crc32 of the decimal doc_id leaves remainder 0 modulo 5; null ids count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, giving back the memory that it took once a task is done."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

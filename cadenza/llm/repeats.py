@@ -7,18 +7,22 @@ windows with one minimiser form a context; contexts of one document share fewer
 in two of them.
 
 Contexts are counted by minimiser with partial aggregation.  A minimiser that occurs once has no repeated window; if
-all its contexts are byte-equal, all their windows are repeated.  Otherwise one text of each distinct context is indexed
+all its contexts are equal, all their windows are repeated.  Otherwise one text of each distinct context is indexed
 with the others of its bucket: the suffixes are sorted, the Burrows-Wheeler transform is cut into runs, and positions
 are sampled at the runs' ends.  Only there are match lengths computed by comparison; between them the statistics are
 streamed along the text, each one less than the one before.  Lengths of ``LENGTH`` and more mark windows.
 
-Minimisers with more than ``MANY`` distinct contexts (a short passage in very many different surroundings) do not fit
-this bound on a task; their windows are counted one by one with partial aggregation, by 128-bit digest.
+A short passage in very many different surroundings gives its minimiser more distinct contexts than one index should
+hold (``MANY``).  These contexts are dealt out once more, by minimisers of longer strings, and so on (``GRAMS``): what
+surrounds the passage tells them apart, until at the last level, where the string is the window, all that have one
+minimiser are equal.  Every level gives the same answer for the windows it gets, so ``MANY`` bounds a task and nothing
+else.
+
+Contexts are told apart by the hash of the minimiser and a digest of the whole, 128 bits in all.
 
 Defined cases: null text counts as empty; texts shorter than ``LENGTH`` keep everything; a text in two rows is repeated,
-also if both have one id, but rows of one id must not differ in text (their removals would be joined); null ids are
-returned with nothing removed and take no part; an empty table gives an empty result; only the id and text columns are
-read.
+whatever their ids; rows of null or equal ids are told apart and each gets its own removals; an empty table gives an
+empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import discard, materialize
+from cadenza.llm.common import discard, join_with_hot_keys, materialize, tidy
 
 LENGTH = 200
-GRAM = 32
-#: Distinct contexts of one minimiser that are indexed together at most (some 3.5 MB of text, 400 MB of arrays), and
+#: Lengths of the strings that minimisers are chosen from, one for each level.
+GRAMS = (32, 96, 160, LENGTH)
+#: Distinct contexts of one minimiser that are indexed together at most (some 1.2 MB of text, 140 MB of arrays), and
 #: contexts of a bucket on average.
-MANY = 12_000
+MANY = 4_000
 BUCKET = 512
 SLICE = 1 << 20
 
@@ -48,13 +53,16 @@ _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
 _STEPS = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 62, 1 << 63, 8, dtype=np.uint64)]
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hashes of all strings of ``gram`` (a power of two) bytes, by doubling."""
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all strings of ``gram`` bytes: of two overlapping strings of a power of two, which come by doubling."""
     h, width, k = _BYTES[data], 1, 0
-    while width < gram:
+    while 2 * width <= gram:
         h = h[:-width] * _STEPS[k] + h[width:]
         h ^= h >> np.uint64(29)
         width, k = 2 * width, k + 1
+    if width < gram:
+        h = h[: len(h) - (gram - width)] * _STEPS[6] + h[gram - width :]
+        h ^= h >> np.uint64(31)
     h = h * _STEPS[7]
     return h ^ (h >> np.uint64(32))
 
@@ -69,14 +77,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, first window, last window and gram place of each context; fewer than 2**24 bytes."""
-    h = gram_hashes(data)
+def contexts(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser hash, first window and last window of each context; fewer than 2**24 bytes."""
+    h = gram_hashes(data, gram)
     keyed = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_min(keyed, length - GRAM + 1) & _PLACE).astype(np.int64)
+    at = (sliding_min(keyed, LENGTH - gram + 1) & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], len(at)) - 1
-    return h[at[first]].view(np.int64), first, last, at[first]
+    return h[at[first]].view(np.int64), first, last
 
 
 def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -152,17 +160,16 @@ def _agreement(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray)
     return np.minimum(out, most)
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of a batch (id, text): bytes, row number of each text in it, and where each begins (one more at the end).
+def _pieces(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of byte strings: bytes, number of each string in it, and where each begins (one more at the end).
 
-    Longer texts come in pieces that share LENGTH - 1 bytes, so each window is in one piece; the third array then holds
-    the offset of the piece within its text as an extra item.
+    Longer strings come in pieces that share LENGTH - 1 bytes, so each window is in one piece; the third array then holds
+    the offset of the piece within its string as an extra item.
     """
     rows: list[int] = []
     parts: list[bytes] = []
     size = 0
-    for k, t in enumerate(batch.column(1).to_pylist()):
-        raw = (t or "").encode("utf-8", "surrogatepass")
+    for k, raw in enumerate(raws):
         if len(raw) < LENGTH:
             continue
         if len(raw) > 4 * SLICE:
@@ -184,35 +191,53 @@ def _digest(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
+def _cut(raws: list[bytes], gram: int) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Contexts of byte strings: minimiser, digest, number of the string, first window, number of windows, text."""
+    for data, rows, bounds in _pieces(raws):
+        begins, shift = bounds[:-1], int(bounds[-1])
+        h, first, last = contexts(data, gram)
+        # Cut at the ends of strings: windows that reach into the next one are none.
+        text = np.searchsorted(begins, first, side="right") - 1
+        text_end = np.searchsorted(begins, last, side="right") - 1
+        spill = np.flatnonzero(text_end > text)
+        if len(spill):
+            more = [(h[k], begins[t], last[k] if t == text_end[k] else begins[t + 1] - 1, t) for k in spill.tolist() for t in range(text[k] + 1, text_end[k] + 1)]
+            last[spill] = begins[text[spill] + 1] - 1
+            h = np.concatenate([h, np.array([m[0] for m in more], np.int64)])
+            first, last, text = (np.concatenate([x, np.array([m[i] for m in more], np.int64)]) for x, i in ((first, 1), (last, 2), (text, 3)))
+        last = np.minimum(last, begins[text + 1] - LENGTH)
+        good = np.flatnonzero(last >= first)
+        h, first, last, text = h[good], first[good], last[good], text[good]
+        raw = data.tobytes()
+        bodies = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        yield h, [_digest(x) for x in bodies], rows[text], first - begins[text] + shift, last - first + 1, bodies
+
+
 def _placed(texts: DataFrame) -> DataFrame:
     """Rows (h, c, id, at, n): minimiser, digest of the context, and its first window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, rows, bounds in _batches(batch):
-                begins, shift = bounds[:-1], int(bounds[-1])
-                h, first, last, _ = contexts(data)
-                # Cut at the ends of texts: windows that reach into the next text are none.
-                text = np.searchsorted(begins, first, side="right") - 1
-                text_end = np.searchsorted(begins, last, side="right") - 1
-                spill = np.flatnonzero(text_end > text)
-                if len(spill):
-                    more = [(h[k], begins[t], last[k] if t == text_end[k] else begins[t + 1] - 1, t) for k in spill.tolist() for t in range(text[k] + 1, text_end[k] + 1)]
-                    last[spill] = begins[text[spill] + 1] - 1
-                    h = np.concatenate([h, np.array([m[0] for m in more], np.int64)])
-                    first, last, text = (np.concatenate([x, np.array([m[i] for m in more], np.int64)]) for x, i in ((first, 1), (last, 2), (text, 3)))
-                last = np.minimum(last, begins[text + 1] - LENGTH)
-                good = np.flatnonzero(last >= first)
-                h, first, last, text = h[good], first[good], last[good], text[good]
-                raw = data.tobytes()
-                c = [_digest(raw[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                at = first - begins[text] + shift
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(c, pa.int64()), batch.column(0).take(pa.array(rows[text])), pa.array(at, pa.int64()), pa.array((last - first + 1).astype(np.int32))],
-                    names=["h", "c", "id", "at", "n"],
-                )
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            for h, c, rows, at, n, _ in _cut(raws, GRAMS[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(at, pa.int64()), pa.array(n.astype(np.int32))], names=["h", "c", "id", "at", "n"])
 
-    return texts.mapInArrow(run, "h bigint, c bigint, id bigint, at bigint, n int")
+    return texts.mapInArrow(tidy(run), "h bigint, c bigint, id bigint, at bigint, n int")
+
+
+def _dealt_again(bodies: DataFrame, gram: int) -> DataFrame:
+    """Contexts (h, c, copies, body, ph, pc, at) of bodies (h, c, copies, body) by longer strings, with their origin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column("body").to_pylist()
+            for h, c, rows, at, _, parts in _cut(raws, gram):
+                origin = [batch.column(x).take(pa.array(rows)) for x in ("copies", "h", "c")]
+                # The minimiser's own hash joins that of the level before, which all that are equal share.
+                mixed = (h.view(np.uint64) * _STEPS[5] ^ origin[1].to_numpy().view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(c, pa.int64()), origin[0], pa.array(parts, pa.binary()), origin[1], origin[2], pa.array(at, pa.int32())], names=["h", "c", "copies", "body", "ph", "pc", "at"])
+
+    return bodies.mapInArrow(tidy(run), "h bigint, c bigint, copies bigint, body binary, ph bigint, pc bigint, at int")
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -230,7 +255,7 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["h", "c", "copies", "body"],
                 )
 
-    return rows.mapInArrow(run, "h bigint, c bigint, copies bigint, body binary")
+    return rows.mapInArrow(tidy(run), "h bigint, c bigint, copies bigint, body binary")
 
 
 def _repeated_ranges(flags: np.ndarray) -> list[int]:
@@ -252,70 +277,94 @@ def _indexed(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h": df["h"].to_numpy(), "c": df["c"].to_numpy(), "ranges": ranges})
 
 
-def _counted(bodies: DataFrame) -> DataFrame:
-    """The same for minimisers with very many contexts, by counting windows."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple[int, bytes], int] = {}
-            for h, copies, body in zip(*(batch.column(k).to_pylist() for k in ("h", "copies", "body")), strict=True):
-                for i in range(len(body) - LENGTH + 1):
-                    key = (h, hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest())
-                    seen[key] = seen.get(key, 0) + copies
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["h", "w", "n"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for h, c, body in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "body")), strict=True):
-                out += [(h, hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest(), c, i) for i in range(len(body) - LENGTH + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int32()))], names=["h", "w", "c", "i"])
-
-    counts = bodies.mapInArrow(windows, "h bigint, w binary, n bigint").groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w")
-    spots = bodies.mapInArrow(places, "h bigint, w binary, c bigint, i int")
-    hit = spots.join(counts, ["h", "w"], "left_semi").groupBy("h", "c").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    # Windows i, i + 1 in a row are one range.
-    begins = F.filter("i", lambda x, k: (k == 0) | (F.get("i", k - 1) != x - 1))
-    ends = F.filter("i", lambda x, k: (k == F.size("i") - 1) | (F.get("i", k + 1) != x + 1))
-    return hit.select("h", "c", F.flatten(F.zip_with(begins, ends, lambda a, b: F.array(a, b + 1))).alias("ranges"))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, starts, ends): byte ranges to remove, of the documents that have any; they may overlap."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    placed = materialize(_placed(texts), "repeat-contexts")
-    kinds = placed.groupBy("h").agg(F.count("*").alias("total"), F.min("c").alias("low"), F.max("c").alias("high")).where("total > 1")
-    kinds = kinds.select(F.col("h").alias("kh"), (F.col("low") != F.col("high")).alias("mixed"))
-    shared = materialize(placed.join(kinds, F.col("h") == F.col("kh")).drop("kh"), "repeat-shared")
-    discard(placed)
-    mixed = shared.where("mixed")
-    distinct = mixed.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at", "n")).alias("one")).select("h", "c", "copies", "one.*")
-    bodies = materialize(_texts_of(texts, distinct), "repeat-bodies")
+def _ranges(bodies: DataFrame, level: int = 0) -> DataFrame:
+    """Repeated windows (h, c, ranges) of distinct contexts (h, c, copies, body) whose minimiser has several."""
     sizes = bodies.groupBy("h").agg(F.count("*").alias("contexts"))
-    total = bodies.count()
     many = sizes.where(F.col("contexts") > MANY).select("h")
+    # Each holds more than MANY contexts, so they are few beside the contexts.
+    many = materialize(many, "repeat-many")
     has_many = many.limit(1).count() > 0
     few = bodies.join(many, "h", "left_anti") if has_many else bodies
-    buckets = max(1, -(-total // BUCKET))
+    buckets = max(1, -(-bodies.count() // BUCKET))
     found = few.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(_indexed, "h bigint, c bigint, ranges array<int>")
     if has_many:
-        found = found.unionByName(_counted(bodies.join(many, "h", "left_semi")))
-    found = materialize(found.where("size(ranges) > 0").withColumnsRenamed({"h": "fh", "c": "fc"}), "repeat-ranges")
+        found = found.unionByName(_of_many(bodies.join(many, "h", "left_semi"), level + 1))
+    return found.where("size(ranges) > 0")
+
+
+def _of_many(bodies: DataFrame, level: int) -> DataFrame:
+    """The same for minimisers with very many contexts, which are dealt out by longer strings."""
+    placed = materialize(_dealt_again(bodies, GRAMS[level]), f"repeat-level-{level}")
+    rows = placed.count()
+    distinct = placed.groupBy("h", "c").agg(F.sum("copies").alias("copies"), F.count("*").alias("places"), F.any_value("body").alias("body"))
+    distinct = materialize(distinct, f"repeat-distinct-{level}")
+    if level + 1 < len(GRAMS):
+        sizes = distinct.groupBy("h").agg(F.count("*").alias("contexts"), (F.count("*") > 1).alias("mixed"))
+        distinct = join_with_hot_keys(distinct, sizes, ["h"], "contexts", rows)
+    else:  # the minimiser is the window
+        distinct = distinct.withColumn("mixed", F.lit(False))
+    # Alone under its minimiser, a context is repeated as a whole or not at all.
+    n = F.length("body") - LENGTH + 1
+    whole = distinct.where("NOT mixed AND copies > 1").select("h", "c", "places", F.array(F.lit(0), n).alias("ranges"))
+    mixed = distinct.where("mixed")
+    if not mixed.limit(1).count():
+        found = whole
+    else:
+        part = _ranges(mixed.select("h", "c", "copies", "body"), level)
+        found = whole.unionByName(part.join(mixed.select("h", "c", "places"), ["h", "c"]).select("h", "c", "places", "ranges"))
+    back = join_with_hot_keys(placed.select("h", "c", "ph", "pc", "at"), materialize(found, f"repeat-found-{level}"), ["h", "c"], "places", rows)
+    moved = back.select("ph", "pc", F.transform("ranges", lambda x: F.col("at") + x).alias("ranges"))
+    return moved.groupBy(F.col("ph").alias("h"), F.col("pc").alias("c")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text) with a number of its own for each row, and the rows (id, given, text) that these numbers stand for."""
+    rows = docs.select(F.col(id_col).alias("given"), F.col(text_col).cast("string").alias("text"))
+    kind = dict(rows.dtypes)["given"]
+    odd = rows.groupBy("given").count().where("count > 1 OR given IS NULL")
+    if kind not in ("tinyint", "smallint", "int", "bigint") or odd.limit(1).count():
+        # Written once, so that the numbers stay.
+        rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "repeat-rows")
+    else:
+        rows = rows.withColumn("id", F.col("given").cast("bigint"))
+    return rows.select("id", "text"), rows
+
+
+def _spans(texts: DataFrame) -> DataFrame:
+    """Rows (id, starts, ends): byte ranges to remove, of the rows that have any; they may overlap."""
+    placed = materialize(_placed(texts), "repeat-contexts")
+    total = placed.count()
+    kinds = placed.groupBy("h").agg(F.count("*").alias("total"), F.min("c").alias("low"), F.max("c").alias("high")).where("total > 1")
+    kinds = materialize(kinds.select("h", (F.col("low") != F.col("high")).alias("mixed"), "total"), "repeat-kinds")
+    shared = materialize(join_with_hot_keys(placed, kinds, ["h"], "total", total), "repeat-shared")
+    discard(placed)
+    mixed = shared.where("mixed")
+    distinct = mixed.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at", "n")).alias("one")).select("h", "c", "copies", "one.*")
+    bodies = materialize(_texts_of(texts, distinct), "repeat-bodies")
+    found = materialize(_ranges(bodies).join(bodies.select("h", "c", "copies"), ["h", "c"]), "repeat-ranges")
     discard(bodies)
     whole = shared.where("NOT mixed").select("id", F.array(F.col("at")).alias("starts"), F.array(F.col("at") + F.col("n") - 1 + LENGTH).alias("ends"))
-    part = mixed.join(found, (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))).select("id", "at", "ranges")
+    part = join_with_hot_keys(mixed.select("h", "c", "id", "at"), found, ["h", "c"], "copies", total)
     even = F.filter("ranges", lambda x, k: k % 2 == 0)
     odd = F.filter("ranges", lambda x, k: k % 2 == 1)
     part = part.select("id", F.transform(even, lambda x: F.col("at") + x).alias("starts"), F.transform(odd, lambda x: F.col("at") + x - 1 + LENGTH).alias("ends"))
     spans = whole.unionByName(part).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return materialize(spans, "repeat-spans").withColumnRenamed("id", id_col)
+    spans = materialize(spans, "repeat-spans")
+    for done in (shared, kinds, found):
+        discard(done)
+    return spans
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (``id_col``, starts, ends): byte ranges to remove, one for each row that has any; ranges may overlap."""
+    texts, rows = _keyed(docs, id_col, text_col)
+    return rows.select("id", "given").join(_spans(texts), "id").select(F.col("given").alias(id_col), "starts", "ends")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("kept",)) -> DataFrame:
     """Every row's n_bytes, n_removed, n_spans and, as asked for in ``outputs``, kept (binary) and kept_sha256."""
-    spans = repeats(docs, id_col, text_col).withColumnRenamed(id_col, "sid")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(spans, F.col("id") == F.col("sid"), "left").select("id", "text", "starts", "ends")
+    texts, rows = _keyed(docs, id_col, text_col)
+    rows = rows.join(_spans(texts), "id", "left").select(F.col("given").alias("id"), "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,4 +393,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sql = {"kept": "binary", "kept_sha256": "string"}
     schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", "n_bytes bigint", "n_removed bigint", "n_spans bigint", *(f"{k} {sql[k]}" for k in outputs)])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
