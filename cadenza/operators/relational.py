@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from cadenza.functions.bins import nearest_quantile, percent_rank, qcut_bin
 from cadenza.functions.ieee import clean, div, finite, holds, indicator, number
 from cadenza.operators.elementwise import month_of, year_of
 from cadenza.operators.masks import span
-from cadenza.operators.regression import grouped_ols
+from cadenza.operators.regression import grouped_ols, unfolded
 from cadenza.operators.registry import operator
 from cadenza.plans.stage import Stage
 
@@ -264,10 +266,10 @@ def predicted_forecast_error(s: Stage, *children: Column, horizon_months: int =
 
 @operator
 def frontier_signal(s: Stage, at: Column, ceq: Column, dltt: Column, capx: Column, sale: Column, xrd: Column, xad: Column, ppent: Column, ebitda: Column, mve: Column, industry: Column) -> Column:
-    """Fitted less actual log market equity, from a regression pooled over the trailing 60 months.
+    """Fitted less actual log market equity, from a regression pooled over the trailing 60 months, with industry effects.
 
-    Industry effects are removed by centring within industries of the pooled window: all that a month needs is the sum
-    of the moments of its 60 months by industry, so the panel is aggregated once and never joined with itself.
+    All that a month needs is the sum of the moments of its 60 months by industry, so the panel is aggregated once and
+    never joined with itself; a fit sees one row for each industry, and is of least norm where rows do not suffice.
     """
     y = ieee.finite(ieee.ln(mve))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
@@ -280,16 +282,25 @@ def frontier_signal(s: Stage, at: Column, ceq: Column, dltt: Column, capx: Colum
     monthly = whole.groupBy("industry", "m").agg(*(F.sum(terms[i] * terms[j]).alias(f"s_{i}_{j}") for i, j in pairs))
     spread = monthly.withColumn("m", F.explode(F.sequence(F.col("m"), F.col("m") + 59)))
     pooled = spread.groupBy("industry", "m").agg(*(F.sum(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i, j in pairs))
-    within = pooled.select("industry", "m", *((F.col(f"s_{i}_{j}") - F.col(f"s_0_{i}") * F.col(f"s_0_{j}") / F.col("s_0_0")).alias(f"c_{i}_{j}") for i, j in pairs if i), *(F.col(f"s_0_{i}") / F.col("s_0_0") for i in ())).join(pooled.select("industry", "m", *(F.col(f"s_0_{i}") for i in range(9))), ["industry", "m"])
-    from cadenza.operators.regression import with_coefficients
-
-    totals = within.groupBy("m").agg(F.sum("s_0_0").alias("m_0_0"), *(F.lit(0.0).alias(f"m_0_{i}") for i in range(1, 9)), *(F.sum(f"c_{i}_{j}").alias(f"m_{i}_{j}") for i, j in pairs if i))
-    fits = with_coefficients(totals, 7, 3).select("m", *(f"b{i}" for i in range(1, 8)))
-    means = within.select("industry", "m", *((F.col(f"s_0_{i}") / F.col("s_0_0")).alias(f"a{i}") for i in range(1, 9)))
-    scored = whole.join(means, ["industry", "m"]).join(F.broadcast(fits), "m")
-    fit = F.col("a8")
+    columns = [f"s_{i}_{j}" for i, j in pairs]
+
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
+        own = unfolded(part[columns].to_numpy(float), 9)  # of (1, x1..x7, y), by industry
+        total, n = own.sum(axis=0), len(own)
+        if total[0, 0] < 3:
+            return pd.DataFrame({"m": [], "industry": [], **{f"b{i}": [] for i in range(8)}})
+        gram, right = np.zeros((8 + n, 8 + n)), np.concatenate([total[:8, 8], own[:, 0, 8]])
+        gram[:8, :8], gram[:8, 8:], gram[8:, :8] = total[:8, :8], own[:, 0, :8].T, own[:, 0, :8]
+        gram[8:, 8:] = np.diag(own[:, 0, 0])
+        beta = np.linalg.pinv(gram, rcond=1e-13, hermitian=True) @ right
+        return pd.DataFrame({"m": part["m"], "industry": part["industry"], "b0": beta[0] + beta[8:], **{f"b{i}": beta[i] for i in range(1, 8)}})
+
+    kind = pooled.schema["industry"].dataType.simpleString()
+    fits = pooled.groupBy("m").applyInPandas(fitted, f"m int, industry {kind}, " + ", ".join(f"b{i} double" for i in range(8)))
+    scored = whole.join(fits, ["industry", "m"])
+    fit = F.col("b0")
     for i in range(1, 8):
-        fit = fit + F.col(f"b{i}") * (F.col(f"x{i - 1}") - F.col(f"a{i}"))
+        fit = fit + F.col(f"b{i}") * F.col(f"x{i - 1}")
     return s.attach(as_value(scored.select("e", "m", (fit - F.col("y")).alias("v")), "v"))
 
 

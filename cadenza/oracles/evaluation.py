@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza import validation
-from cadenza.backtest import models, portfolio, prepare
+from cadenza.backtest import models, portfolio, prepare, run
 from cadenza.sources.standins import duckdb_with, standins
 
 NAMES = ["mve_c", "prc", "vol"]
@@ -95,6 +95,14 @@ def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, scored)
 
 
+CONFIG = run.Config(train=36, test=12, stock_dates=0.5, stock_factors=0.5, stock_returns=0.5, filters=(("rank_ic", None, 2),), picks=5, exchange=0.4, cost=0.001)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> run.Result:
+    """The whole walk-forward: two of three factors chosen in each window, ranks, ridge, books of five and five."""
+    return run.run(factors(spark, sf_dir), _r(spark, sf_dir), NAMES, CONFIG)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -118,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "bt__legs": lambda s, d: _six(portfolio.legs(_book(s, d)), "w"),
     "bt__ridge": lambda s, d: _six(_ridge(s, d), "score"),
     "bt__portfolio": lambda s, d: _six(portfolio.form_portfolio(_scores(s, d), 5, 0.4), "w"),
+    "bt__run_scores": lambda s, d: _six(_run(s, d).scores, "score"),
+    "bt__run_book": lambda s, d: _six(_run(s, d).book, "gross", "turnover"),
     "val__diff_panels": lambda s, d: _six(validation.diff_panels(_panel(s, d, "prc"), _panel(s, d, "shrout")), "max_abs_diff"),
     "val__vintages": lambda s, d: _six(validation.compare_vintages(_vintage(s, d, 0), _vintage(s, d, 1), ["e", "m"]), "share_changed"),
     "val__classify": lambda s, d: _six(validation.classify_factors(_long(s, d, 0), _long(s, d, 1), 24000), "share"),

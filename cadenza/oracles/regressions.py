@@ -11,14 +11,13 @@ from cadenza.oracles.kernels import _DAYS, _SPINE, table_case
 from cadenza.oracles.panel import frame, ratio
 
 
-def parts(source: str, prefix: str, keys: str, y: str, xs: list[str], fit: str = "true", centre: str | None = None) -> str:
+def parts(source: str, prefix: str, keys: str, y: str, xs: list[str], fit: str = "true") -> str:
     """CTEs ``{prefix}_1`` and on; the last one, ``{prefix}_z``, adds r1.. (parts), s1.. (slopes of y) and fitted.
 
-    Rows for which ``fit`` is false are scored by the others of their group.  ``centre``: keys of effects taken out.
+    Rows for which ``fit`` is false are scored by the others of their group.
     """
     rows = f"FILTER (WHERE {fit}) OVER (PARTITION BY {keys})"
-    mean = f"FILTER (WHERE {fit}) OVER (PARTITION BY {centre or keys})"
-    out = f"{prefix}_0 AS (SELECT *, {', '.join(f'{x} - avg({x}) {mean} AS r{i}' for i, x in enumerate(xs, 1))}, {y} - avg({y}) {mean} AS ry, avg({y}) {mean} AS my FROM {source})"
+    out = f"{prefix}_0 AS (SELECT *, {', '.join(f'{x} - avg({x}) {rows} AS r{i}' for i, x in enumerate(xs, 1))}, {y} - avg({y}) {rows} AS ry, avg({y}) {rows} AS my FROM {source})"
     step = 0
     for i in range(2, len(xs) + 1):
         for j in range(1, i):
@@ -75,20 +74,5 @@ def fill() -> None:
     vol = ratio(f"({rows('stddev_samp', 'y', 252, 120)})", f"({rows('stddev_samp', 'x', 252, 120)})")
     table_case("regress__betafp_signal", "betafp_signal()", daily, f"{_SPINE}, {_DAYS}, a AS (SELECT e, m, d, ln(1 + ret) AS y, ln(1 + mktrf) AS x FROM days JOIN factors_day USING (d)), b AS (SELECT *, {three_day('y')}, {three_day('x')} FROM a WINDOW d AS (PARTITION BY e ORDER BY d)), c AS (SELECT *, x3 * y3 AS xy FROM b), f AS (SELECT e, m, d, abs({corr}) * ({vol}) AS v FROM c WINDOW w1260 AS (PARTITION BY e ORDER BY d ROWS BETWEEN 1259 PRECEDING AND CURRENT ROW), w252 AS (PARTITION BY e ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)), z AS (SELECT e, m, arg_max(v, d) AS v FROM f WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) GROUP BY e, m)")
 
-    items = ["ceq", "dltt", "capx", "sale", "xrd", "xad", "ppent", "ebitda"]
-    quotients = [("dltt", "ta"), ("capx", "sale"), ("xrd", "sale"), ("xad0", "sale"), ("ppent", "ta"), ("ebitda", "ta")]
-    xs = [f"x{k}" for k in range(7)]
-    frontier = f"""{_SPINE},
-st AS (SELECT e, m, max(statement_month."at") AS ta, {', '.join(f'max({c}) AS {c}' for c in items)} FROM statement_month GROUP BY e, m),
-sk AS (SELECT e, m, max(mve_permco) AS me, CAST(floor(max(sicCRSP) / 250) AS INT) AS ind FROM stock_month GROUP BY e, m HAVING bool_or(shrcd IN (10, 11, 12) AND exchcd IN (1, 2, 3))),
-a0 AS (SELECT *, coalesce(xad, 0) AS xad0 FROM sk JOIN st USING (e, m) WHERE ceq > 0 AND me > 0),
-a AS (SELECT e, m, ind, ln(me) AS y, ln(ceq) AS x0, {', '.join(f'{p} / nullif({q}, 0) AS x{k}' for k, (p, q) in enumerate(quotients, 1))} FROM a0),
-v AS (SELECT * FROM a WHERE ind IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)}),
-ms AS (SELECT DISTINCT m AS m0 FROM v),
-win AS (SELECT m0, v.* FROM ms JOIN v ON v.m BETWEEN m0 - 59 AND m0),
-{parts('win', 'o', 'm0', 'y', xs, centre='m0, ind')},
-z AS (SELECT e, m, fitted - y AS v FROM o_z WHERE m = m0 AND n_fit >= 8)"""
-    table_case("regress__frontier_signal", "frontier_signal(A.at, A.ceq, A.dltt, A.capx, A.sale, A.xrd, A.xad, A.ppent, A.ebitda, C.mve_permco, industry48(C.sicCRSP))", ["stock_month", "statement_month"], frontier)
-
 
 fill()
