@@ -2,7 +2,8 @@
 
 Factors come long and are turned once into one row for each date and stock with a column for each factor.  Within a
 window, everything is an expression over those columns or a small aggregate (a row for each date, stock or factor) that
-is joined back; only the model is fitted by an action.  The loop over windows is the driver's: there are as many as
+is joined back.  Stocks and scores of a window, the book and its weights are written to the shared folder, so plans stay
+small however many windows there are.  The loop over windows is the driver's: there are as many as
 the dates allow, whatever the number of stocks.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from cadenza.backtest import models, portfolio, prepare
 from cadenza.functions.bins import average_rank
 from cadenza.functions.ieee import finite
+from cadenza.sources.sinks import written
 
 
 @dataclass
@@ -122,7 +124,7 @@ def window_scores(wide: DataFrame, returns: DataFrame, names: list[str], train:
     everything = returned.crossJoin(dated(train)).join(wide, ["date", "stock"], "left")
     aligned = prepare.aligned_returns(returns, config.delay)
     seen = everything.join(dated(observable), "date").join(aligned, ["date", "stock"], "left")
-    stocks = training_stocks(seen, names, config, len(observable)).persist()
+    stocks = written(training_stocks(seen, names, config, len(observable)), "run-stocks")
     n_stocks = stocks.count()
     if not n_stocks:
         return None
@@ -173,14 +175,15 @@ def scores(factors: DataFrame, returns: DataFrame, names: list[str], config: Con
     """Out-of-sample scores of all windows, one after the other."""
     # One row for each trading date is all that the driver sees.
     days = [r["date"] for r in prepare.dates(returns).orderBy("t").collect()]
-    wide = wide_factors(factors, sorted({*names, *config.floors})).persist()
+    wide = written(wide_factors(factors, sorted({*names, *config.floors})), "run-factors")
+    returns = written(returns.select("date", "stock", "ret"), "run-returns")
     found = []
     for at in range(0, len(days), config.test):
         if at + config.train >= len(days):
             break
         train, test = days[at : at + config.train], days[at + config.train : at + config.train + config.test]
         if (own := window_scores(wide, returns, names, train, test, config)) is not None:
-            found.append(own)
+            found.append(written(own, "run-scores"))
     if not found:
         raise ValueError("no window has training rows")
     return reduce(DataFrame.unionByName, found)
@@ -205,9 +208,9 @@ class Result:
 
 def run(factors: DataFrame, returns: DataFrame, names: list[str], config: Config) -> Result:
     """Scores, signal weights, the book on trading dates, and its figures."""
-    scored = adjusted(scores(factors, returns, names, config), factors, config).persist()
-    weights = portfolio.form_portfolio(scored, config.picks, config.exchange)
-    book = portfolio.accounting(portfolio.shift_to_execution(weights, returns, config.delay), returns)
+    scored = written(adjusted(scores(factors, returns, names, config), factors, config), "run-adjusted")
+    weights = written(portfolio.form_portfolio(scored, config.picks, config.exchange), "run-weights")
+    book = written(portfolio.accounting(portfolio.shift_to_execution(weights, returns, config.delay), returns), "run-book")
     figures = lambda by_year: portfolio.performance(book, config.cost, config.periods_per_year, by_year)
     return Result(scored, weights, book, figures(False), figures(True))
 

@@ -104,13 +104,14 @@ def _years(s: Stage, columns: list[str]) -> DataFrame:
 def brand_invest_signal(s: Stage, *children: Column) -> Column:
     """Advertising over brand capital, a stock that keeps half of itself each year.
 
-    The recursion is a power-weighted sum: each year's stock is the sum of earlier spending times 0.5 per row since.
+    The recursion is a power-weighted sum: each year's stock is the sum of earlier spending times 0.5 per row since, which
+    is a running sum of spending times 2 per row, brought back.
     """
     along = W.partitionBy("firm").orderBy("fyear", "datadate")
     rows = _years(s, ["xad", "xad0", "at", "sic"]).withColumn("row", F.row_number().over(along))
     start = F.when(F.col("row") == 1, F.coalesce(F.col("xad") / F.lit(0.6), F.lit(0.0))).otherwise(F.coalesce("xad", F.lit(0.0)))
-    spent = F.collect_list(start).over(along.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("stock", F.aggregate(spent, F.lit(0.0), lambda acc, x: acc * 0.5 + x))
+    grown = F.sum(start * F.pow(F.lit(2.0), F.col("row"))).over(along.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("stock", grown * F.pow(F.lit(0.5), F.col("row")))
     capital = F.when(F.col("xad").isNotNull(), div(F.col("stock"), F.col("at")))
     rows = rows.withColumn("capital", capital).withColumn("v", div(F.col("xad0"), F.lag("capital").over(along)))
     sic = number(F.col("sic"))

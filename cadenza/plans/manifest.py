@@ -38,29 +38,61 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
         raise
 
 
+def waves(trees: Mapping[str, Expr], most_factors: int = 14, most_nodes: int = 250) -> list[list[str]]:
+    """Factors that are evaluated together: those that share most sub-expressions, within a budget of columns."""
+    left = {name: frozenset(tree.nodes()) for name, tree in trees.items()}
+    out = []
+    while left:
+        first = next(iter(left))
+        wave, nodes = [first], set(left.pop(first))
+        while left and len(wave) < most_factors:
+            best = max(left, key=lambda n: (len(left[n] & nodes) / max(1, len(left[n])), -len(left[n])))
+            if len(nodes | left[best]) > most_nodes:
+                break
+            wave.append(best)
+            nodes |= left.pop(best)
+        out.append(wave)
+    return out
+
+
 def build(library: Library, spark: SparkSession, trees: Mapping[str, Expr], folder: str, inputs: Iterable[str], incremental: bool = True, log: Callable[[str], None] = print) -> dict[str, str]:
     """Build factors into ``folder``; returns their fates: built, current, or the error that kept one from being built.
 
-    Each factor is written by a job of its own, so that one failure leaves the others alone.
+    Factors are evaluated in waves, one wide select each, so that what they share is computed once.  If a wave fails, its
+    factors are built one by one, so that one failure leaves the others alone.
     """
     version = fingerprint(spark, inputs)
     known = read_manifest(spark, f"{folder}/manifest") if incremental else {}
-    fates: dict[str, str] = {}
-    for name, tree in trees.items():
-        key = recipe_key(tree, version)
-        if known.get(name) == key:
-            fates[name] = "current"
-            continue
+    keys = {name: recipe_key(tree, version) for name, tree in trees.items()}
+    fates = {name: "current" for name in trees if known.get(name) == keys[name]}
+
+    def attempt(names: list[str]) -> str | None:
+        """The error that kept these factors from being built, if any did."""
         try:
-            library.long({name: tree}).select("e", "m", F.col("value").cast("float").alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/factor={name}")
-            spark.sql("SELECT ? AS factor, ? AS key, current_timestamp() AS at", args=[name, key]).write.mode("append").json(f"{folder}/manifest")
-            fates[name] = "built"
+            for name in names:
+                _delete(spark, f"{folder}/factor={name}")
+            rows = library.long({n: trees[n] for n in names}).select("e", "m", F.col("value").cast("float").alias("value"), "factor")
+            rows.write.mode("append").option("compression", "zstd").partitionBy("factor").parquet(folder)
+            made = spark.createDataFrame([(n, keys[n]) for n in names], "factor string, key string")
+            made.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{folder}/manifest")
         except Exception as error:
-            fates[name] = f"failed: {str(error)[:200]}"
-        log(f"{name}: {fates[name]}")
+            return str(error)[:200]
+        return None
+
+    for wave in waves({n: t for n, t in trees.items() if n not in fates}):
+        failed = attempt(wave)
+        for name in wave:
+            error = attempt([name]) if failed and len(wave) > 1 else failed
+            fates[name] = f"failed: {error}" if error else "built"
+            log(f"{name}: {fates[name]}")
     return fates
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def describe(trees: Mapping[str, Expr]) -> str:
     """The trees as a Graphviz graph of datasets, columns and factors."""
     edges = set()

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where none is set (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (found or f"file://{tempfile.gettempdir()}/cadenza-scratch").rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of its own, written once: cuts lineage, and survives lost executors."""
+    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_factors(long: DataFrame, path: str) -> None:
     """(e, m, factor, value) as zstd parquet, one folder for each factor, values as floats."""
     narrow = long.select("e", "m", F.col("value").cast("float").alias("value"), "factor")
@@ -17,9 +33,10 @@ def write_daily(rows: DataFrame, path: str, buckets: int = 64) -> int:
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(buckets)))
     # One shuffle by bucket and a salt of the entity, so that a bucket may have several files and tasks stay small.
     dealt = placed.repartition("bucket", F.pmod(F.hash("e"), F.lit(8))).sortWithinPartitions("bucket", "e", "d")
-    dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
-    spark = rows.sparkSession
-    before, after = rows.count(), spark.read.parquet(path).count()
+    # Rows are counted as they are written, not by evaluating them again.
+    seen = Observation()
+    dealt.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+    before, after = seen.get["n"], rows.sparkSession.read.parquet(path).count()
     if before != after:
         raise RuntimeError(f"{before} rows became {after}")
     return after

@@ -124,6 +124,7 @@ def test_incremental_build_skips_what_has_not_changed(spark, tmp_path):
     args = (library, spark, trees, str(tmp_path / "out"), [str(tmp_path / "in.txt")])
     first = manifest.build(*args, log=lambda x: None)
     assert first["P"] == "built" and first["bad"].startswith("failed")
+    assert manifest.waves({"P": trees["P"], "Q": parse("abs(C.prc) + 1", {}, {"C": "stock_month"}), "R": parse("abs(C.prc)[t-1]", {}, {"C": "stock_month"})}, 2) == [["P", "R"], ["Q"]]
     assert manifest.build(*args, log=lambda x: None)["P"] == "current"
     assert sorted(r["value"] for r in manifest.read_factors(spark, str(tmp_path / "out")).collect()) == [1.0, 2.0, 3.0]
 
