@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import tidy
+
 _UNSAFE = re.compile(r" (?:\s|\Z)").search
 #: Entries of the per-worker cache of words, dropped as a whole when full.
 CACHE_WORDS = 200_000
@@ -167,23 +169,30 @@ class MergeReplay:
         return tuple(ids)
 
     def _learn(self, units: Iterable[str]) -> None:
-        """Fill the caches for texts that begin with a space and hold no other place where texts are cut."""
-        pieces = {u: [" " + u] if u.isalpha() else self.split(" " + u) for u in units}
-        self._learn_words(set(chain.from_iterable(pieces.values())))
-        for u, found in pieces.items():
+        """Enter texts that begin with a space and hold no other place where texts are cut: most are one word."""
+        whole, mixed = [], []
+        for u in units:
+            (whole if u.isalpha() else mixed).append(u)
+        self.spaced.update(zip(whole, self._ids([" " + u for u in whole]), strict=True))
+        pieces = [self.split(" " + u) for u in mixed]
+        self._learn_words(set(chain.from_iterable(pieces)))
+        for u, found in zip(mixed, pieces, strict=True):
             self.spaced[u] = self.ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(self.ids.__getitem__, found)))
 
     def _learn_words(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.ids]
-        whole = [w.encode("utf-8", "surrogatepass") for w in fresh]
-        rest = []
-        for w, b in zip(fresh, whole, strict=True):
-            if (r := self.ranks.get(b)) is not None:  # a word that is a token needs no merges
-                self.ids[w] = (r,)
-            else:
-                rest.append((w, b))
-        for (w, _), ids in zip(rest, self.replay([b for _, b in rest]), strict=True):
-            self.ids[w] = ids
+        self.ids.update(zip(fresh, self._ids(fresh), strict=True))
+
+    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct words; a word that is a token needs no merges."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        known = list(map(self.ranks.get, raw))
+        rest = iter(self.replay([b for b, r in zip(raw, known, strict=True) if r is None]))
+        return [next(rest) if r is None else (r,) for r in known]
+
+    def forget(self) -> None:
+        self.spaced.clear()
+        self.ids.clear()
 
     @staticmethod
     def units(text: str) -> tuple[str, list[str]]:
@@ -205,8 +214,7 @@ class MergeReplay:
         """Ids of each text, in order."""
         cut = [self.units(t or "") for t in texts]
         if len(self.spaced) + len(self.ids) > CACHE_WORDS:
-            self.spaced.clear()
-            self.ids.clear()
+            self.forget()
         self._learn(set().union(*(rest for _, rest in cut)).difference(self.spaced))
         firsts = {first: self.split(first) for first, _ in cut}
         self._learn_words(set(chain.from_iterable(firsts.values())))
@@ -231,22 +239,22 @@ def _coder(data: bytes, pattern: str) -> MergeReplay:
     return _LOADED[key]
 
 
-#: Bytes of text that are replayed together, about.
+#: Bytes of text that are replayed together, about: more is quicker, less takes less memory (some 40 bytes for each).
 SLICE_BYTES = 8_000_000
 
 
-def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
-    """Consecutive texts of about SLICE_BYTES; only one slice at a time is turned into Python strings."""
+def _slices(texts: pa.Array, slice_bytes: int) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``slice_bytes``; only one slice at a time is turned into Python strings."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         done = int(sizes[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(sizes, done + slice_bytes, side="right")))
         yield texts.slice(at, stop - at).to_pylist()
         at = stop
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Encode each text; one row for each input row.
 
     ``outputs`` picks among ``ids`` (array of int), ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas),
@@ -264,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
         gc.disable()  # the caches hold millions of small tuples and no cycles
         for batch in batches:
             at = 0
-            for part in _slices(batch.column(1)):
+            for part in _slices(batch.column(1), slice_bytes):
                 made: dict[str, list] = {k: [] for k in outputs}
                 for ids in coder.encode_batch(part):
                     plain = coder.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
@@ -281,9 +289,10 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
                             out.append(hashlib.sha256(plain).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *(pa.array(made[k], kinds[k]) for k in outputs)], names=["id", *outputs])
                 at += len(part)
+        coder.forget()
 
     schema = ", ".join([f"id {id_type}", *(f"{k} {sql[k]}" for k in outputs)])
-    return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

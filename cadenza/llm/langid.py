@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import held_out
+from cadenza.llm.common import held_out, tidy
 
 BUCKETS = 4096
 SAMPLE = 2400
@@ -57,6 +57,8 @@ def family_of(lang: str) -> str:
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, np.int8)
+_LETTER[65:91] = _LETTER[97:123] = 1
 
 
 def ngram_buckets(data: np.ndarray) -> np.ndarray:
@@ -182,12 +184,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 256):
             found = [frequencies(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["id", "lang", "x"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    rows = sorted(_sampled(narrow, sample).mapInArrow(describe, f"id {kind}, lang string, x binary").limit(2 * sample).collect(), key=lambda r: (r["id"], r["lang"], bytes(r["x"])))
+    rows = sorted(_sampled(narrow, sample).mapInArrow(tidy(describe), f"id {kind}, lang string, x binary").limit(2 * sample).collect(), key=lambda r: (r["id"], r["lang"], bytes(r["x"])))
     langs = [r["lang"] for r in rows]
     x = np.empty((len(rows), BUCKETS), np.float32)
     for k in range(len(rows)):
@@ -195,32 +197,54 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model.fit(x, langs)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: what is made for a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _told(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    texts = pa.array(["" if t is None else t for t in texts.to_pylist()], pa.string()) if texts.null_count else texts
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # Most texts show a letter at once; the others are read as text.
+    known = np.array([bool(_LETTER[data[a : min(a + 64, b)]].any()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], bool)
+    for i in np.flatnonzero(~known):
+        known[i] = any(c.isalpha() for c in texts[i].as_py())
+    if not model.langs:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    lang, score = model.predict(model.margins(data, offsets))
+    return [model.langs[k] if ok else UNKNOWN for k, ok in zip(lang.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, lang_pred and score of every row."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        letter = np.zeros(256, np.int64)
-        letter[65:91] = letter[97:123] = 1
-        for batch in batches:
-            texts = batch.column(1)
-            texts = pa.array(["" if t is None else t for t in texts.to_pylist()], pa.string()) if texts.null_count else texts
-            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            ascii_letters = np.concatenate([[0], np.cumsum(letter[data])])
-            known = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-            for i in np.flatnonzero(~known):
-                known[i] = any(c.isalpha() for c in texts[i].as_py())
-            if model.langs:
-                lang, score = model.predict(model.margins(data, offsets))
-                names = [model.langs[k] if ok else UNKNOWN for k, ok in zip(lang.tolist(), known.tolist(), strict=True)]
-                score = np.where(known, score, 0.0)
-            else:
-                names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+        for batch in _parts(batches):
+            if batch.num_rows:
+                names, score = _told(shared.value, batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is told, all columns as they are: one pass without a shuffle."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            if batch.num_rows:
+                names, _ = _told(shared.value, batch.column(at))
+                yield batch.filter(pa.array([x != UNKNOWN for x in names]))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -55,8 +55,31 @@ def _cut(docs: DataFrame, divisor: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """``id_col``, text (what is left), n_lines, n_removed (lines) and n_chunks_removed of every row."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = _cut(narrow, divisor)
+    return _deduped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), divisor).withColumnRenamed("id", id_col)
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
+    """``docs`` with what is left of each text, and ``n_chars``, if there is one, counted again where lines went.
+
+    Rows of which nothing is left go.  The other columns travel with the text, so no further join is needed.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
+    done = _deduped(rows, divisor).where("n_removed = 0 OR text <> ''")
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("text").cast(docs.schema[c].dataType)
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("rest")[c])
+        return F.col("rest")[c]
+
+    return done.select(*(column(c).alias(c) for c in docs.columns))
+
+
+def _deduped(rows: DataFrame, divisor: int) -> DataFrame:
+    """Columns of ``rows`` (id, text and others), text being what is left of it, n_lines, n_removed, n_chunks_removed."""
+    cut = _cut(rows, divisor)
     # posexplode, not transform over bodies: one body at a time is hashed and dropped.
     numbered = cut.where(F.col("id").isNotNull()).select("id", "lines", F.posexplode("chunks").alias("no", "chunk")).where("chunk.n_lines >= 2")
     index = materialize(numbered.select("id", (F.col("no") + 1).alias("no"), F.xxhash64(_body(F.col("lines"), F.col("chunk"))).alias("key")), "line-chunks")
@@ -78,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = F.array_join(F.transform(kept, lambda k: _body(F.col("lines"), F.get("chunks", k - 1))), "\n")
     lost = F.aggregate(gone, F.lit(0).cast("bigint"), lambda n, k: n + F.get("chunks", k - 1)["n_lines"])
     return joined.select(
-        F.col("id").alias(id_col),
+        *(F.col(c) for c in rows.columns if c != "text"),
         F.when(F.size(gone) == 0, F.col("text")).otherwise(rest).alias("text"),
         F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_lines"),
         lost.alias("n_removed"),

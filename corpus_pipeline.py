@@ -12,22 +12,18 @@ from cadenza.llm import bpe, decontaminate, langid, linededup, minhash
 from cadenza.llm.common import materialize, read_table
 from cadenza.llm.queries import vocabulary
 
+#: Executors come to the last stage with the memory of the others: slices are smaller than those of the operator alone.
+SLICE_BYTES = 3_000_000
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; texts without a letter (``und``) go."""
-    told = langid.predict(docs, langid.train(docs))
-    rejected = told.where(F.col("lang_pred") == langid.UNKNOWN).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    return langid.with_language(docs, langid.train(docs))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the line chunks that occur earlier in the corpus; a text of which nothing is left goes."""
-    done = linededup.line_dedup(docs).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    joined = docs.join(done, F.col("doc_id") == F.col("_id"), "left").where("_text IS NULL OR _text <> ''")
-    text = F.coalesce("_text", "text")
-    changed = F.col("_id").isNotNull()
-    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return linededup.without_repeated_lines(docs)
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +40,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, *vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode(docs, *vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), slice_bytes=SLICE_BYTES)
 
 
 STAGES = [
