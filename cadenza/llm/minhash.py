@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import broadcast_if_small, materialize
+from cadenza.llm.common import broadcast_if_small, give_back, materialize, tidy
 from cadenza.llm.graph import components, least_rows
 
 WORDS = 5
@@ -43,6 +43,8 @@ BITS = 4
 SIGMAS = 4.0
 BLOCK = 192
 LEADERS = 8
+#: Ways of dealing the members of large buckets into blocks; with each, blocks of the ways before become connected.
+WAYS = 3
 #: Blocks of BLOCK documents that make up one side of a unit where members of different groups meet.
 SIDE = 4
 CACHE_WORDS = 100_000
@@ -161,7 +163,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     names=["id", "n_shingles", "key", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary")
+    return docs.mapInArrow(tidy(run), "id bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary")
 
 
 class Merged:
@@ -196,10 +198,15 @@ def confirmed(sets: list[np.ndarray], sigs: np.ndarray) -> np.ndarray:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """Rows (rep, bucket, size, blocks) of the band buckets that hold several representatives."""
-    spots = reps.select("rep", F.explode("bands").alias("bucket"))
+    """Rows (rep, bucket, way, size, blocks) of the band buckets that hold several representatives.
+
+    ``way``: which of ``WAYS`` dealings into blocks the band uses.  ``blocks`` is a power of two, so bands that hold
+    much the same documents deal them out alike, and their spanning forests are much the same edges.
+    """
+    spots = reps.select("rep", F.posexplode("bands").alias("way", "bucket")).withColumn("way", F.col("way") % WAYS)
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return spots.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.col("size") / BLOCK)))).cast("int")
+    return spots.join(sizes, "bucket").withColumn("blocks", blocks)
 
 
 def _grouped(buckets: DataFrame, reps: DataFrame) -> DataFrame:
@@ -267,9 +274,9 @@ def _between_groups(spots: DataFrame, reps: DataFrame) -> DataFrame:
 def _within_blocks(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges (a, b): a spanning forest, in each block of each bucket, of the pairs with a sufficient estimate.
 
-    The block of a document differs from bucket to bucket, so large buckets that share their members mix.
+    The block of a document differs between the ways of dealing, so large buckets that share their members mix.
     """
-    block = F.pmod(F.xxhash64("rep", "bucket"), "blocks")
+    block = F.pmod(F.xxhash64("rep", "way"), "blocks")
     rows = buckets.select("rep", F.xxhash64("bucket", block).alias("cell")).join(reps.select("rep", "sig"), "rep")
     # Most cells hold two or three rows: many of them make up one call.
     calls = max(1, buckets.count() // ROWS_PER_CALL)
@@ -286,6 +293,7 @@ def _within_blocks(buckets: DataFrame, reps: DataFrame) -> DataFrame:
         i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         root = least_rows(len(rep), i, j)
         own = np.flatnonzero(root != np.arange(len(rep)))
+        give_back()
         return pd.DataFrame({"a": rep[own], "b": rep[root[own]]})
 
     found = rows.groupBy(F.pmod("cell", F.lit(calls)).alias("call")).applyInPandas(forest, "a bigint, b bigint")
@@ -324,7 +332,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield out.filter(pa.array(fits))
 
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others), "shingles binary"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -345,6 +353,8 @@ def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
         sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(ids), -1)
         root = confirmed([np.frombuffer(s, np.uint64) for s in df["shingles"]], sigs)
         own = np.flatnonzero(root != np.arange(len(ids)))
+        if len(ids) > BLOCK // 2:
+            give_back()
         return pd.DataFrame({"a": ids[own], "b": ids[root[own]]})
 
     links = materialize(rows.groupBy("g", "block").applyInPandas(confirm, "a bigint, b bigint"), "minhash-links")
