@@ -3,7 +3,8 @@
 Words are runs of word characters.  A word's features are hashed: itself, its prefixes of 3 to 6 characters and its
 suffix of 3, lower-cased; the chain has two states, plain and toxic.  Token labels for training come from the document
 labels: in a document marked toxic, the words that carry a feature which is significantly tied to the label are toxic,
-all others are plain.  Forward-backward marginals give each word's chance of being toxic; a document's score is a
+all others are plain.  Emissions and transitions are trained
+together by the chain's likelihood.  Forward-backward marginals give each word's chance of being toxic; a document's score is a
 logistic function of the largest marginal, of the expected number of toxic words and of that number's share of all
 words, fitted on the same sample; words of marginal 0.5 or more are reported with their offsets.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import held_out
+from cadenza.llm.common import held_out, tidy
 
 BUCKETS = 1 << 18
 SAMPLE = 1000
@@ -48,37 +49,73 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace")) % BUCKETS
 
 
-def marginals(odds: np.ndarray, offsets: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Chance of the toxic state at each place of each sequence.
+#: Sequences up to which scalar steps are quicker than steps through arrays.
+FEW = 4
+
+
+def chains(odds: np.ndarray, offsets: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward odds of the toxic state at each place, its emission included, and backward odds, its emission excluded.
 
     ``odds``: toxic to plain emission odds; sequence i takes offsets[i] to offsets[i + 1]; trans[a, b]: factor of going
-    from a to b, 1 being toxic.  Both passes keep one number for each sequence, the odds of the toxic state, and step
-    through all sequences at once, longest first, so finished ones drop off the end.
+    from a to b, 1 being toxic.  Both passes keep one number for each sequence and step through all sequences at once,
+    longest first, so finished ones drop off the end; what the ``FEW`` longest have beyond the others is done one by one.
     """
     lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
     start, lengths = offsets[:-1][order], lengths[order]
-    longest = int(lengths[0]) if len(lengths) else 0
-    alive = np.searchsorted(-lengths, -np.arange(longest + 1), side="left")  # sequences longer than t
-    (pp, pt), (tp, tt) = trans
-    forward = np.empty_like(odds)
+    alone = min(FEW, len(lengths))
+    common = int(lengths[alone]) if len(lengths) > alone else 0  # steps that are made through arrays
+    alive = np.searchsorted(-lengths, -np.arange(common + 1), side="left")  # sequences longer than t
+    (pp, pt), (tp, tt) = trans.tolist()
+    forward, backward = np.empty_like(odds), np.empty_like(odds)
     state = np.empty(0)
-    for t in range(longest):
+    for t in range(common):
         k = alive[t]
         at = start[:k] + t
         state = odds[at] if t == 0 else odds[at] * (state[:k] * tt + pt) / (state[:k] * tp + pp)
         forward[at] = state
-    out = forward
-    state = np.ones(len(order))
-    for t in range(longest - 1, -1, -1):
+    tails = np.ones(len(order))
+    for i in range(alone):
+        lo, hi = int(start[i]) + common, int(start[i] + lengths[i])
+        if lo >= hi:
+            continue
+        own, out = odds[lo:hi].tolist(), []
+        x = float(state[i]) if common else None
+        for o in own:
+            x = o if x is None else o * (x * tt + pt) / (x * tp + pp)
+            out.append(x)
+        forward[lo:hi] = out
+        x, out = 1.0, [1.0]
+        for o in reversed(own[1:]):
+            x = (tt * x * o + tp) / (pt * x * o + pp)
+            out.append(x)
+        backward[lo:hi] = out[::-1]
+        tails[i] = (tt * x * own[0] + tp) / (pt * x * own[0] + pp)
+    state = tails
+    for t in range(common - 1, -1, -1):
         k = alive[t]
         at = start[:k] + t
-        m = alive[t + 1]  # those that have a next place
+        m = alive[t + 1] if t + 1 < common else 0  # those whose next place was passed here
         if m:
             after = state[:m] * odds[at[:m] + 1]
             state[:m] = (tt * after + tp) / (pt * after + pp)
-        out[at] *= state[:k]
-    return out / (1 + out)
+        backward[at] = state[:k]
+    return forward, backward
+
+
+def marginals(odds: np.ndarray, offsets: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Chance of the toxic state at each place of each sequence."""
+    forward, backward = chains(odds, offsets, trans)
+    forward *= backward
+    return forward / (1 + forward)
+
+
+def expected_steps(odds: np.ndarray, forward: np.ndarray, backward: np.ndarray, pair: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Expected numbers of steps from state to state; ``pair`` marks the places whose next one is of the same sequence."""
+    before, after = forward[:-1][pair], (odds * backward)[1:][pair]
+    weight = [np.full(len(before), trans[0, 0]), trans[0, 1] * after, trans[1, 0] * before, trans[1, 1] * before * after]
+    total = weight[0] + weight[1] + weight[2] + weight[3]
+    return np.array([(w / total).sum() for w in weight]).reshape(2, 2)
 
 
 @dataclass
@@ -165,25 +202,30 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 50, ridg
     seen = np.zeros((2, 2))
     if len(flat) > 1:
         np.add.at(seen, (label[:-1][pair].astype(int), label[1:][pair].astype(int)), 1)
-    # Transitions are the smoothed rates of the labelled chain, relative to independent draws; emissions are trained.
+    # Emissions and transitions are trained together, from the smoothed rates of the labelled chain on.
     rate = (seen + 1) / (seen + 1).sum()
-    trans = rate / np.outer(rate.sum(axis=1), rate.sum(axis=0))
-    trans = np.clip(trans, 0.05, 20)
+    steps_log = np.log(np.clip(rate / np.outer(rate.sum(axis=1), rate.sum(axis=0)), 0.05, 20))
     weights, bias = np.zeros(BUCKETS), float(np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5))) if len(label) else 0.0
     observed = np.bincount(flat, label, len(own))
     used = np.unique(lookup)
-    m = v = np.zeros(len(used))
-    mb = vb = 0.0
+    slope, size = np.zeros(len(used) + 5), np.zeros(len(used) + 5)
+    pace = np.concatenate([np.full(len(used), 0.3), np.full(5, 0.1)])
     for k in range(1, steps + 1):
         emit = np.clip(bias + np.bincount(row, weights[lookup], len(own)), -30, 30)
-        p = marginals(np.exp(emit)[flat], cuts, trans)
-        gap = observed - np.bincount(flat, p, len(own))
-        g = np.bincount(lookup, gap[row], BUCKETS)[used] / len(texts) - ridge * weights[used]
-        gb = gap.sum() / len(texts)
-        m, v = 0.8 * m + 0.2 * g, 0.98 * v + 0.02 * g * g
-        mb, vb = 0.8 * mb + 0.2 * gb, 0.98 * vb + 0.02 * gb * gb
-        weights[used] += 0.3 * (m / (1 - 0.8**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-5)
-        bias += 0.1 * (mb / (1 - 0.8**k)) / (np.sqrt(vb / (1 - 0.98**k)) + 1e-5)
+        odds, trans = np.exp(emit)[flat], np.exp(steps_log)
+        forward, backward = chains(odds, cuts, trans)
+        moved = seen - expected_steps(odds, forward, backward, pair, trans) if len(flat) > 1 else np.zeros((2, 2))
+        forward *= backward
+        gap = observed - np.bincount(flat, forward / (1 + forward), len(own))
+        g = np.concatenate([np.bincount(lookup, gap[row], BUCKETS)[used], [gap.sum()], moved.ravel()]) / len(texts)
+        g[: len(used)] -= ridge * weights[used]
+        g[len(used) + 1 :] -= ridge * steps_log.ravel()
+        slope, size = 0.8 * slope + 0.2 * g, 0.98 * size + 0.02 * g * g
+        by = pace * (slope / (1 - 0.8**k)) / (np.sqrt(size / (1 - 0.98**k)) + 1e-5)
+        weights[used] += by[: len(used)]
+        bias += by[len(used)]
+        steps_log = np.clip(steps_log + by[len(used) + 1 :].reshape(2, 2), -5, 5)
+    trans = np.exp(steps_log)
     emit = np.clip(bias + np.bincount(row, weights[lookup], len(own)), -30, 30)
     p = marginals(np.exp(emit)[flat], offsets, trans)
     share = toxic.mean()
@@ -250,4 +292,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, score double, n_words bigint, n_toxic_words bigint, toxic_spans string").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, score double, n_words bigint, n_toxic_words bigint, toxic_spans string").withColumnRenamed("id", id_col)

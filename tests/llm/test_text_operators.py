@@ -386,22 +386,86 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r["score"] for r in toxicity.score(docs(spark, EDGE), toxicity.train(df, lab.limit(0))).collect()} == {0.0}
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize("few", [0, 1, 2, 4, 9])
+def test_marginals_equal_enumeration(monkeypatch, few):
+    monkeypatch.setattr(toxicity, "FEW", few)
     rng = np.random.default_rng(10)
     trans = np.array([[1.2, 0.4], [0.7, 2.0]])
-    offsets = np.array([0, 1, 1, 5, 8])
-    odds = np.exp(rng.normal(size=8))
+    offsets = np.array([0, 1, 1, 5, 8, 11, 17, 18])
+    odds = np.exp(rng.normal(size=18))
     got = toxicity.marginals(odds, offsets, trans)
+    steps = np.zeros((2, 2))
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         n = b - a
-        weight = np.zeros(n)
+        weight, pairs = np.zeros(n), np.zeros((2, 2))
         total = 0.0
         for code in range(2**n):
             s = [(code >> k) & 1 for k in range(n)]
             w = np.prod([odds[a + k] if s[k] else 1.0 for k in range(n)]) * np.prod([trans[s[k], s[k + 1]] for k in range(n - 1)])
             total += w
             weight += w * np.array(s)
+            for x, y in zip(s[:-1], s[1:], strict=True):
+                pairs[x, y] += w
         assert np.allclose(got[a:b], weight / total)
+        steps += pairs / total
+    pair = np.ones(17, bool)
+    pair[offsets[(offsets > 0) & (offsets < 18)] - 1] = False
+    forward, backward = toxicity.chains(odds, offsets, trans)
+    assert np.allclose(toxicity.expected_steps(odds, forward, backward, pair, trans), steps)
+
+
+def test_a_very_long_text_is_scored_whole():
+    p = toxicity.marginals(np.full(2_000_000, 0.5), np.array([0, 2_000_000]), np.array([[1.0, 0.5], [0.5, 1.5]]))
+    assert len(p) == 2_000_000 and np.allclose(p[1000:-1000], p[1_000_000])
+
+
+def brute_contamination(rows, items, run):
+    """Items found in each document: all alignments with a seed, compared around it."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    found = {}
+    for d, t in rows:
+        w = words(t)
+        for i, u in items:
+            o = words(u)
+            for width, mask in [(len(m), m) for m in decontaminate.MASKS] if len(o) >= 12 else [(len(o), "1" * len(o))]:
+                picked = [k for k, c in enumerate(mask) if c == "1"]
+                for a in range(len(w) - width + 1):
+                    for b in range(len(o) - width + 1) if o else ():
+                        if all(w[a + k] == o[b + k] for k in picked):
+                            lo, hi = -min(a, b, 8), min(len(w) - a, len(o) - b, width + 8)
+                            same = [w[a + k] == o[b + k] for k in range(lo, hi)]
+                            if (sum(same) >= 0.75 * len(same) and len(same) >= width) or "1" * run in "".join("01"[x] for x in same):
+                                found.setdefault(d, set()).add(i)
+    return found
+
+
+def test_contamination_equals_a_search_of_all_alignments(spark, monkeypatch):
+    rng = random.Random(18)
+    vocab = [f"w{k}" for k in range(60)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([1, 2, 5, 11, 12, 13, 20, 40, 60, 0])]
+    rows = []
+    for d in range(120):
+        w = items[d % 10][1].split()
+        a = rng.randint(0, len(w))
+        w = w[a : a + rng.randint(4, 60)]
+        for _ in range(rng.randint(0, 4)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((d, " ".join([*say(rng.randint(0, 15)), *w, *say(rng.randint(0, 15))])))
+    whole = [f"p{k}" for k in range(60)]
+    items.append((10, " ".join(whole)))
+    rows.append((500, " ".join([*whole[:12], *(f"q{k}" for k in range(8)), *whole[20:]])))  # the start, then a gap
+    rows.append((501, " ".join([*say(5), *whole[24:38], *say(5)])))  # a stretch from the middle
+    rows += [(502, LONG + " ".join(whole)), (502, "again"), (None, " ".join(whole))]
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    want = brute_contamination([r for r in rows if r[0] is not None and r[0] != 502], items, decontaminate.RUN) | {502: {10}}
+    assert want[500] == want[501] == {10}
+    for most in (200_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        got = decontaminate.contamination(docs(spark, rows), bench).collect()
+        assert {r["doc_id"]: {int(x) for x in r["item_ids"].split(",")} for r in got if r["contaminated"]} == want
+        assert len(got) == len(rows)
 
 
 def test_licenses(spark):
@@ -411,6 +475,22 @@ def test_licenses(spark):
     assert got[1]["text_license"] == "MIT" and got[2]["text_license"] is None and got[2]["n_notices"] == 1 and got[2]["licenses"] == "MIT"
     assert got[3]["licenses"] == "" and got[15]["licenses"] == ""
     assert licenses.license_scan(docs(spark, [])).count() == 0
+    assert licenses.license_scan(docs(spark, [])).columns == ["doc_id", "text_license", "n_notices", "licenses"]
+
+
+def test_every_known_text_and_texts_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("The licence licence of this programme.\nCopyright 2020 someone\nIt is granted, whilst it lasts.")
+    own = licenses.license_texts(spark, str(tmp_path))
+    rows = [(i, f"{k} License\nCopyright (c) 1999 A. Person\n\n{t.upper()}") for i, (k, t) in enumerate(licenses.NOTICES)]
+    rows += [(100, "THE LICENSE LICENSE, of this program --\n\nit is granted while it lasts"), (101, "Released under the MIT Licence.\nreleased, under the mit license\nother"), (101, "x")]
+    got = {}
+    for r in licenses.license_scan(docs(spark, rows), known=own).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    known = {k for k, _ in licenses.NOTICES}
+    long = [i for i, (k, t) in enumerate(licenses.NOTICES) if len(t) > 300]
+    assert len(long) == 8 and all(got[i][0]["text_license"] == licenses.NOTICES[i][0] for i in long if licenses.NOTICES[i][0] in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause"))
+    assert got[100][0]["text_license"] == "Own-1.0" and "Own-1.0" not in known
+    assert [r["n_notices"] for r in got[101]] == [2, 2] and got[101][0]["licenses"] == "MIT"
 
 
 def shingle_set(t):
