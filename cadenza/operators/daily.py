@@ -264,10 +264,12 @@ def betafp_signal(s: Stage, *children: Column) -> Column:
         n, total, squares = (F.col(f"{k}{c}_{window}") for k in ("n", "s", "q"))
         return F.when(n >= least, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1)))
 
-    correlation = div(mean("xy") - mean("x3") * mean("y3"), sd("x3", "long", 500) * sd("y3", "long", 500))
-    value = F.abs(correlation) * div(sd("y", "year", 120), sd("x", "year", 120))
-    found = rows.select("e", "m", "d", ieee.finite(value).alias("v")).where("v IS NOT NULL")
-    return s.attach(last_of_month(found, "v"))
+    # Step by step: a single expression holds each step several times, and the optimiser's copies of it fill the driver.
+    rows = rows.select("e", "m", "d", *(mean(c).alias(f"m{c}") for c in ("xy", "x3", "y3")), *(sd(c, "long", 500).alias(f"d{c}") for c in ("x3", "y3")), *(sd(c, "year", 120).alias(f"d{c}") for c in ("y", "x")))
+    rows = rows.select("e", "m", "d", (F.col("mxy") - F.col("mx3") * F.col("my3")).alias("cov"), (F.col("dx3") * F.col("dy3")).alias("sd"), div(F.col("dy"), F.col("dx")).alias("ratio"))
+    rows = rows.withColumn("v", F.abs(div(F.col("cov"), F.col("sd"))) * F.col("ratio"))
+    found = rows.groupBy("e", "m").agg(F.max_by("v", F.when(F.abs("v") < ieee.INF, F.col("d"))).alias("value"))
+    return s.attach(found.where("value IS NOT NULL"))
 
 
 def tail_series(rows: DataFrame, q: float = 0.05) -> DataFrame:
