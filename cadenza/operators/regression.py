@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from cadenza.plans.stage import Stage
+from cadenza.sources.sinks import written
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -115,9 +116,13 @@ def grouped_ols(df: DataFrame, keys: list[str], y: str, xs: list[str], least: in
 
 
 def residuals_by_month(s: Stage, y: Column, xs: list[Column]) -> Column:
-    """Residuals of one regression in each month, over rows where everything is present."""
+    """Residuals of one regression in each month, over rows where everything is present.
+
+    These rows are written once.  Fits, residuals and the stage would else each hold the stage's plan, so that it grew
+    threefold with each such operator and filled the driver.
+    """
     names = [f"x{i}" for i in range(len(xs))]
-    rows = s.rows(y, *xs, names=["y", *names])
+    rows = written(s.rows(y, *xs, names=["y", *names]).dropna(subset=["y", *names]), "residual-rows")
     fits = grouped_ols(rows, ["m"], "y", names, len(xs) + 1)
     joined = rows.join(fits, "m")
     fitted = F.col("b0")

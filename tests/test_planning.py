@@ -12,3 +12,13 @@ def optimised(df):
 def test_plan_of_betafp_stays_small(spark):
     df = queries.queries()["regress__betafp_signal"](spark, SMALL)
     assert len(optimised(df)) < 100_000
+
+
+def test_plan_grows_in_step_with_residual_operators(spark):
+    from cadenza.plans.catalog import factor
+    from cadenza.plans.compiler import Library
+    from cadenza.sources.standins import standins
+
+    names = ["IntanBM", "IntanCFP", "IntanEP", "IntanSP"]
+    size = lambda few: len(Library(standins(spark, SMALL)).wide({n: factor(n) for n in few})._jdf.queryExecution().analyzed().toString())
+    assert size(names[:4]) < 4 * size(names[:1])
