@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,42 @@ def ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-INF))
 
 
+# Ln 2 in two parts, the first of which times an exponent is exact.
+_LN2 = (6.93147180369123816490e-01, 1.90821492927058770002e-10)
+
+
+def exact_ln(x: Column, let: Callable[[Column], Column]) -> Column:
+    """:func:`ln` rounded to the nearest double, as C libraries round it; Java's may miss by one place.
+
+    For orders by sums of logarithms, in which the last place decides.  x is 2**k z; ln z = 2 atanh((z - 1) / (z + 1)), the
+    quotient with its remainder.  ``let`` names a step.
+    """
+    k = let(F.round(F.log2(x)))
+    z = let(x / F.pow(F.lit(2.0), k))
+    below, above = let(z - 1), let(z + 1)
+    q = let(below / above)
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        wide = let(v * F.lit(134217729.0))
+        high = let(wide - (wide - v))
+        return high, let(v - high)
+
+    (qh, ql), (ah, al) = halves(q), halves(above)
+    near = let(q * above)
+    off = let(((qh * ah - near) + qh * al + ql * ah) + ql * al)
+    rest = let((((below - near) - off) - q * (z - (above - 1))) / above)
+    square = let(q * q)
+    series = F.lit(1 / 25)
+    for n in range(23, 1, -2):
+        series = series * square + F.lit(1 / n)
+    high, twice = let(k * F.lit(_LN2[0])), let(2 * q)
+    total_ = let(high + twice)
+    back = let(total_ - high)
+    lost = (high - (total_ - back)) + (twice - back)
+    value = total_ + (lost + (k * F.lit(_LN2[1]) + 2 * rest * (1 + square) + twice * square * series))
+    return F.when((x > 1e-300) & (x < 1e300), value).otherwise(ln(x))
+
+
 def log1p(x: Column) -> Column:
     return ln(x + F.lit(1.0))
 

@@ -125,7 +125,9 @@ def rolling_industry_herfindahl(s: Stage, metric: Column, sic: Column, shrcd: Co
 @operator
 def weighted_lagged_rank_growth(s: Stage, revt: Column) -> Column:
     before = s.lag(revt, 12)
-    growth = s.let(F.when((revt > 0) & (before > 0), ieee.ln(revt) - ieee.ln(before)))
+    # Equal ratios differ in the last place of their logarithms, which then decides their order.
+    now = s.let(ieee.exact_ln(revt, s.let))
+    growth = s.let(F.when((revt > 0) & (before > 0), now - s.let(ieee.exact_ln(before, s.let))))
     rank = s.let(F.when(growth.isNotNull(), F.row_number().over(W.partitionBy("m").orderBy(growth.desc_nulls_last(), "e"))).cast("double"))
     return (5 * s.lag(rank, 12) + 4 * s.lag(rank, 24) + 3 * s.lag(rank, 36) + 2 * s.lag(rank, 48) + s.lag(rank, 60)) / F.lit(15.0)
 
