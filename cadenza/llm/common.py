@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,17 @@ def held_out(doc_id):
 Batches = Iterator[pa.RecordBatch]
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int) -> Batches:
+    """Consecutive rows that hold about ``most`` bytes in a column of strings or bytes; one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on from stage to stage."""
     gc.collect()

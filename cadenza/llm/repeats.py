@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import discard, join_with_hot_keys, materialize, tidy
+from cadenza.llm.common import discard, join_with_hot_keys, materialize, portions, tidy
 
 LENGTH = 200
 #: Lengths of the strings that minimisers are chosen from, one for each level.
@@ -45,7 +45,8 @@ GRAMS = (32, 96, 160, LENGTH)
 #: contexts of a bucket on average.
 MANY = 4_000
 BUCKET = 512
-SLICE = 1 << 20
+#: Bytes of text that a worker holds as Python strings and arrays at a time (some 80 bytes for each).
+SLICE = 1 << 19
 
 _PLACE = np.uint64((1 << 24) - 1)
 _RNG = np.random.default_rng(11)
@@ -172,9 +173,9 @@ def _pieces(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     for k, raw in enumerate(raws):
         if len(raw) < LENGTH:
             continue
-        if len(raw) > 4 * SLICE:
-            for at in range(0, len(raw) - LENGTH + 1, 4 * SLICE):
-                piece = raw[at : at + 4 * SLICE + LENGTH - 1]
+        if len(raw) > 8 * SLICE:
+            for at in range(0, len(raw) - LENGTH + 1, 8 * SLICE):
+                piece = raw[at : at + 8 * SLICE + LENGTH - 1]
                 yield np.frombuffer(piece, np.uint8), np.array([k]), np.array([0, len(piece), at])
             continue
         rows.append(k)
@@ -217,7 +218,7 @@ def _placed(texts: DataFrame) -> DataFrame:
     """Rows (h, c, id, at, n): minimiser, digest of the context, and its first window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in portions(b, 1, SLICE)):
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for h, c, rows, at, n, _ in _cut(raws, GRAMS[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(at, pa.int64()), pa.array(n.astype(np.int32))], names=["h", "c", "id", "at", "n"])
@@ -229,7 +230,7 @@ def _dealt_again(bodies: DataFrame, gram: int) -> DataFrame:
     """Contexts (h, c, copies, body, ph, pc, at) of bodies (h, c, copies, body) by longer strings, with their origin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in portions(b, b.schema.get_field_index("body"), SLICE)):
             raws = batch.column("body").to_pylist()
             for h, c, rows, at, _, parts in _cut(raws, gram):
                 origin = [batch.column(x).take(pa.array(rows)) for x in ("copies", "h", "c")]
@@ -367,7 +368,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.join(_spans(texts), "id", "left").select(F.col("given").alias("id"), "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in portions(b, 1, SLICE)):
             made: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", *outputs)}
             for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in ("text", "starts", "ends")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
