@@ -210,10 +210,10 @@ class MergeReplay:
             rest = out
         return first, rest
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Ids of each text, in order."""
+    def encode_batch(self, texts: list[str | None], cache_words: int = CACHE_WORDS) -> Iterator[list[int]]:
+        """Ids of each text, in order; words of earlier calls are forgotten once they are more than ``cache_words``."""
         cut = [self.units(t or "") for t in texts]
-        if len(self.spaced) + len(self.ids) > CACHE_WORDS:
+        if len(self.spaced) + len(self.ids) > cache_words:
             self.forget()
         self._learn(set().union(*(rest for _, rest in cut)).difference(self.spaced))
         firsts = {first: self.split(first) for first, _ in cut}
@@ -254,7 +254,7 @@ def _slices(texts: pa.Array, slice_bytes: int) -> Iterator[list[str | None]]:
         at = stop
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",), slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",), slice_bytes: int = SLICE_BYTES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Encode each text; one row for each input row.
 
     ``outputs`` picks among ``ids`` (array of int), ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas),
@@ -274,7 +274,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
             at = 0
             for part in _slices(batch.column(1), slice_bytes):
                 made: dict[str, list] = {k: [] for k in outputs}
-                for ids in coder.encode_batch(part):
+                for ids in coder.encode_batch(part, cache_words):
                     plain = coder.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
                     for k, out in made.items():
                         if k == "ids":

@@ -29,3 +29,15 @@ def test_repeats_yields_small_batches():
     finally:
         repeats._cut = cut
     assert rows > 3000 and max(seen) <= repeats.SLICE
+
+
+def test_bpe_forgets_words_beyond_its_cache():
+    from cadenza.llm import bpe
+    from cadenza.llm.queries import vocabulary
+
+    coder = bpe.MergeReplay(bpe.parse_ranks(vocabulary()[0]), vocabulary()[1])
+    texts = [[" ".join(f"w{chr(97 + k)}{chr(97 + n % 26)}{chr(97 + n // 26)}x" for n in range(500))] for k in range(8)]
+    free = [list(coder.encode_batch(t)) for t in texts]
+    coder.forget()
+    assert [list(coder.encode_batch(t, 600)) for t in texts] == free
+    assert len(coder.spaced) + len(coder.ids) < 3000
