@@ -99,9 +99,11 @@ def rolling_std(s: Stage, x: Column, window_months: int, min_obs: int | None = N
     least = window_months // 2 if min_obs is None else min_obs
     frame = s.months(-(window_months - 1), 0)
     # Equal values have deviation 0, whatever rounding does to their mean.
-    flat = F.min(x).over(frame) == F.max(x).over(frame)
-    n = F.count(x).over(frame)
-    return s.let(clean(F.when(n >= max(2, least), F.when(flat, F.lit(0.0)).otherwise(F.stddev_samp(x).over(frame)))))
+    flat = s.let(F.min(x).over(frame) == F.max(x).over(frame))
+    # In two passes: an update row by row is off by a place more often, which shows where a value lies at a tie.
+    n, mean, there = s.let(F.count(x).over(frame)), s.let(F.avg(x).over(frame)), s.let(F.collect_list(x).over(frame))
+    squares = F.aggregate(there, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+    return s.let(clean(F.when(n >= max(2, least), F.when(flat, F.lit(0.0)).otherwise(F.sqrt(squares / (n - 1))))))
 
 
 @operator

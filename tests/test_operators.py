@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import statistics
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from cadenza.operators.regression import grouped_ols, rolling_coefficients
 from cadenza.plans.catalog import FORMULAS, catalogue
 from cadenza.plans.expr import C, O, V, distinct_nodes, parse
 from cadenza.plans.stage import Stage
+from cadenza.queries import rounded
 
 INF = float("inf")
 
@@ -52,6 +54,18 @@ def test_constant_window_has_zero_deviation(spark):
     assert values(s, apply("rolling_std", s, F.col("x"), window_months=3, min_obs=3))[2:] == [0.0] * 4
 
 
+def test_deviation_at_a_tie_of_the_rounding(spark):
+    # The exact deviation is 85.37005949876999712, just below a tie of queries.rounded; None is a month without a row.
+    x = [250, 110, 180, 164, 292, 210, 219, 189, 193, 200, 95, 366, 74, 69, 218, 125, 217, 329, 173, 192, None]
+    x += [215, 37, 77, 178, 322, 237, 201, 139, 395, 217, 201, 114, 276, 329, 225]
+    s = panel(spark, [(1, k, float(v)) for k, v in enumerate(x) if v is not None] + [(2, 1, 1.0), (2, 2, INF), (3, 1, 1.0), (3, 2, None), (3, 3, 4.0)])
+    own = apply("rolling_std", s, F.col("x"), window_months=36, min_obs=2)
+    got = values(s, own)
+    assert got[34] == statistics.stdev(v for v in x if v is not None)
+    assert got[35:] == [None, None, None, None, 4.5**0.5]
+    assert values(s, rounded(own))[34] == 85.370059
+
+
 def test_screens_differ_on_missing_codes(spark):
     s = panel(spark, [(1, 1, 5.0, None), (2, 1, 5.0, 6500.0), (3, 1, 5.0, 2000.0)], "e BIGINT, m INT, x DOUBLE, sic DOUBLE")
     assert values(s, apply("nonfinancial_only", s, F.col("x"), F.col("sic"))) == [None, None, 5.0]
