@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import discard, materialize
 
 
+#: Edges that one task connects, whatever their shape.
+ONE_TASK = 1000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, component) for every node of an edge, component being the least node that it is connected to.
 
-    ``edges`` has bigint columns a and b.  Each round, a node takes the least label among itself and its neighbours and
-    then the label of its label (pointer jumping), so the number of rounds follows the logarithm of the longest path in
-    usual graphs.  Minima are partially aggregated, joins are plain equi-joins which Spark may split at hot nodes, and
-    the tables of each round lie in the shared folder.
+    ``edges`` has bigint columns a and b.  Each round sends every node to the least of itself and its neighbours, and only
+    edges between different images go on, each once; so the edges of stars and blocks are joined once, not in every round.
+    The first round takes nodes in the order of their ids, as edges mostly lead to the least member; the others order
+    them by their exclusive or with a random number, where any node is as likely before another as after it, so that of
+    the nodes three quarters are left at most, on average.  Minima are partially aggregated, joins are plain equi-joins
+    which Spark may split at hot nodes, and the tables of each round lie in the shared folder.  One task ends the work
+    once at most ``ONE_TASK`` edges are left.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
-        said = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
-        least = said.unionByName(labels).groupBy("node").agg(F.min("label").alias("near"))
-        # Hooking: the root that a node points to hears of the smaller label as well.
-        told = least.join(labels, "node").where("near < label").select(F.col("label").alias("node"), F.col("near"))
-        least = least.unionByName(told).groupBy("node").agg(F.min("near").alias("near"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        fresh = least.join(jump, F.col("near") == F.col("via"), "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("label"))
-        fresh = materialize(fresh, "labels")
-        changed = fresh.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        discard(labels)
-        labels = fresh
-        if not changed:
-            discard(both)
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    some = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    left = materialize(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rng, steps, n_rounds = np.random.default_rng(5), [], 0
+    while left.limit(ONE_TASK + 1).count() > ONE_TASK:
+        if n_rounds == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        mask = F.lit(int(rng.integers(-(1 << 63), 1 << 63)) if n_rounds else 0).cast("bigint")
+        n_rounds += 1
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nearest = ends.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("near"))
+        steps.append(materialize(nearest.select(F.col("a").alias("node"), F.least(F.col("a").bitwiseXOR(mask), "near").bitwiseXOR(mask).alias("label")), "labels"))
+        images = left.join(steps[-1].toDF("a", "x"), "a").join(steps[-1].toDF("b", "y"), "b").where("x <> y")
+        fresh = materialize(images.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(left)
+        left = fresh
+    found = materialize(left.coalesce(1).mapInPandas(_labels, "node bigint, label bigint"), "labels")
+    discard(left)
+    while steps:
+        step, beyond = steps.pop(), found.toDF("via", "beyond")
+        fresh = materialize(step.join(beyond, F.col("label") == F.col("via"), "left").select("node", F.coalesce("beyond", "label").alias("label")), "labels")
+        discard(step)
+        discard(found)
+        found = fresh
+    if n_rounds <= 1:  # in the order of ids, labels are the least nodes
+        return found.withColumnRenamed("label", "component")
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(least, "label").select("node", "component")
+
+
+def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, label) of few edges: the least node that each is connected to."""
+    edges = [x for batch in batches for x in batch[["a", "b"]].to_numpy(np.int64)]
+    nodes, of = np.unique(np.array(edges, np.int64).reshape(-1, 2), return_inverse=True)
+    of = of.reshape(-1, 2)
+    yield pd.DataFrame({"node": nodes, "label": nodes[least_rows(len(nodes), of[:, 0], of[:, 1])]})
 
 
 def least_rows(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

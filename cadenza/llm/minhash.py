@@ -11,8 +11,8 @@ estimates): pairs of a bucket meet within blocks of ``BLOCK`` documents first, w
 then, in buckets of several blocks, members of different groups meet across all blocks, pair of blocks by pair of blocks,
 so that no pair of a bucket is left out whose members are not connected anyway.  A group's sets are brought together in blocks of ``BLOCK`` documents, each with the same ``LEADERS`` of the
 group, so work and memory of a task are bounded however large a group is.  Within a block, exact comparison goes on
-until every candidate pair is linked, connected through other links, or refuted.  Groups of several blocks that have
-not become one component are then compared across blocks, candidate pair by candidate pair.
+until every candidate pair is linked, connected through other links, or refuted.  In groups of several blocks that have
+not become one component, members of different parts then meet across blocks, pair of blocks by pair of blocks.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer than five words make one shingle;
 rows that repeat a doc_id are one node with the links of all of them, and each gets its own n_shingles; null doc_id
@@ -223,18 +223,17 @@ def _grouped(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     return every.join(merged, F.col("g") == F.col("part"), "left").select("rep", F.coalesce("component", "g").alias("g"))
 
 
-def _between_groups(spots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges (a, b) of the parts of a bucket that hold a pair with a sufficient estimate: a forest for each unit.
+def _units(spots: DataFrame, key: str, side: int) -> DataFrame:
+    """Rows (rep, part, key, x, y, right): the members of ``key`` in units where those of different parts meet.
 
-    Members of a bucket's largest part, and all others, are cut into blocks.  A unit holds two blocks, of which one at
-    least is of the others; every pair of such blocks is a unit.
+    Members of a key's largest part, and all others, are cut into blocks of ``side``.  A unit (x, y) holds two blocks, of
+    which one at least is of the others; every pair of such blocks is a unit.  ``right`` tells its blocks apart.
     """
-    side = SIDE * BLOCK
-    shares = spots.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    most = shares.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"), F.max("n").alias("n_main")).where("n_rest > 0")
-    most = most.select("bucket", "main", F.ceil(F.col("n_main") / side).cast("int").alias("mains"), F.ceil(F.col("n_rest") / side).cast("int").alias("rests"))
-    rows = spots.join(most, "bucket").withColumn("in_main", F.col("part") == F.col("main"))
-    own = F.pmod(F.xxhash64("rep", "bucket"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    shares = spots.groupBy(key, "part").agg(F.count("*").alias("n"))
+    most = shares.groupBy(key).agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("n_rest"), F.max("n").alias("n_main")).where("n_rest > 0")
+    most = most.select(key, "main", F.ceil(F.col("n_main") / side).cast("int").alias("mains"), F.ceil(F.col("n_rest") / side).cast("int").alias("rests"))
+    rows = spots.join(most, key).withColumn("in_main", F.col("part") == F.col("main"))
+    own = F.pmod(F.xxhash64("rep", key), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
     rows = rows.withColumn("own", own)
     rests = F.sequence(F.lit(0), F.col("rests") - 1)
 
@@ -247,19 +246,30 @@ def _between_groups(spots: DataFrame, reps: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: unit(m, F.col("own"), F.lit(True))),
         F.transform(rests, lambda j: unit(-1 - F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.col("own") > j)),
     )
-    rows = rows.select("rep", "part", "bucket", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("u"))
-    rows = rows.select("rep", "part", "bucket", "u.x", "u.y", "u.right").join(reps.select("rep", "sig"), "rep")
+    rows = rows.select("rep", "part", key, F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("u"))
+    return rows.select("rep", "part", key, "u.x", "u.y", "u.right")
+
+
+def _near_in_unit(df: pd.DataFrame, sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, rows near k) for the rows of one block of a unit: those of the other block (one block with itself: rows after
+    k) that are in another part and whose estimate is sufficient.  ``df`` is sorted by right."""
+    part, least, n_left = df["part"].to_numpy(), least_estimate(), int((~df["right"].to_numpy(bool)).sum())
+    whole = df["x"].iloc[0] < 0 and -1 - df["x"].iloc[0] == df["y"].iloc[0]  # one block with itself
+    for k in range(n_left):
+        first = k + 1 if whole else n_left
+        yield k, np.flatnonzero((part[first:] != part[k]) & (estimates(sigs[k], sigs[first:]) >= least)) + first
+
+
+def _between_groups(spots: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) of the parts of a bucket that hold a pair with a sufficient estimate: a forest for each unit."""
+    rows = _units(spots, "bucket", SIDE * BLOCK).join(reps.select("rep", "sig"), "rep")
 
     def forest(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["right", "rep"])
-        rep, part, right = df["rep"].to_numpy(), df["part"].to_numpy(), df["right"].to_numpy(bool)
-        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
-        least, n_left = least_estimate(), int((~right).sum())
-        whole = df["x"].iloc[0] < 0 and -1 - df["x"].iloc[0] == df["y"].iloc[0]  # one block with itself
+        part = df["part"].to_numpy()
+        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(part), -1)
         i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(n_left):
-            first = k + 1 if whole else n_left
-            near = np.flatnonzero((part[first:] != part[k]) & (estimates(sigs[k], sigs[first:]) >= least)) + first
+        for k, near in _near_in_unit(df, sigs):
             i.append(np.full(len(near), k))
             j.append(near)
         parts, of = np.unique(part, return_inverse=True)
@@ -361,50 +371,42 @@ def _links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     large = members.where("blocks > 1").select(F.col("id").alias("rep"), "g")
     if not large.limit(1).count():
         return links
-    return _across(links, large, buckets, reps, texts)
+    return _across(links, large, reps, texts)
 
 
-def _across(links: DataFrame, large: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(links: DataFrame, large: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """``links`` and the confirmed edges between parts of large groups that have remained apart.
 
-    In each bucket, members outside its largest part meet all others by estimate; the pairs that pass are confirmed one
-    by one.  Where a group has become one part, nothing is left to do.
+    In each such group, members outside its largest part meet all others in units of two blocks, with their sets.  Where
+    the estimate suffices, pairs are confirmed at once, until their parts are linked: rows are those of the members of
+    units, never of pairs.  Where a group has become one part, nothing is left to do.
     """
     parts = components(links).withColumnRenamed("node", "n")
     placed = large.join(parts, F.col("rep") == F.col("n"), "left").select("rep", "g", F.coalesce("component", "rep").alias("part"))
     open_groups = placed.groupBy("g").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("g")
-    placed = materialize(placed.join(open_groups, "g", "left_semi").select("rep", "part"), "minhash-parts")
-    spots = buckets.select("rep", "bucket").join(placed, "rep")
-    shares = spots.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    most = shares.groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.sum("n").alias("size"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    spots = spots.join(most, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    where = F.when(F.col("part") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spots = spots.select("rep", "part", "bucket", F.explode(where).alias("block")).join(reps.select("rep", "sig"), "rep")
-
-    def apart(df: pd.DataFrame) -> pd.DataFrame:
-        rep, part = df["rep"].to_numpy(), df["part"].to_numpy()
-        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
-        least, a, b = least_estimate(), [], []
-        for i in range(len(rep) - 1):
-            near = np.flatnonzero((part[i + 1 :] != part[i]) & (estimates(sigs[i], sigs[i + 1 :]) >= least)) + i + 1
-            a.append(np.minimum(rep[i], rep[near]))
-            b.append(np.maximum(rep[i], rep[near]))
-        return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
-
-    pairs = materialize(spots.groupBy("bucket", "block").applyInPandas(apart, "a bigint, b bigint").distinct(), "minhash-pairs")
-    if not pairs.limit(1).count():
+    placed = materialize(placed.join(open_groups, "g", "left_semi").select("rep", "g", "part"), "minhash-parts")
+    if not placed.limit(1).count():
         return links
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sets(texts, wanted.join(reps.select(F.col("rep").alias("id"), "key"), "id")).select("id", "shingles")
-    sets = materialize(sets.dropDuplicates(["id"]), "minhash-sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+    sets = _sets(texts, placed.select(F.col("rep").alias("id")).join(reps.select(F.col("rep").alias("id"), "key", "sig"), "id"))
+    sets = materialize(sets.select(F.col("id").alias("rep"), "sig", "shingles").dropDuplicates(["rep"]), "minhash-sets")
+    rows = _units(placed, "g", max(1, BLOCK // 2)).join(sets, "rep")
 
-    return links.unionByName(materialize(both.mapInArrow(compare, "a bigint, b bigint"), "minhash-late-links"))
+    def confirm(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["right", "rep"])
+        rep = df["rep"].to_numpy()
+        sigs = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(rep), -1)
+        sets = [np.frombuffer(s, np.uint64) for s in df["shingles"]]
+        parts, of = np.unique(df["part"].to_numpy(), return_inverse=True)
+        merged, found = Merged(len(parts)), []
+        for k, near in _near_in_unit(df, sigs):
+            for n in near.tolist():
+                if merged.find(of[k]) != merged.find(of[n]) and similar(sets[k], sets[n]):
+                    merged.join(of[k], of[n])
+                    found.append((rep[k], rep[n]))
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    late = rows.groupBy("g", "x", "y").applyInPandas(confirm, "a bigint, b bigint")
+    return links.unionByName(materialize(late, "minhash-late-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -562,3 +562,47 @@ def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (5, 5)], "a BIGINT, b BIGINT")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in (100, 101, 102)}
+
+
+def joined_rows(spark, run):
+    """Result of ``run`` and the rows that the joins of all its plans made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    result, made = run(), 0
+    executions = store.executionsList()
+    for e in (executions.apply(k).executionId() for k in range(before, executions.size())):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size()) if "Join" in nodes.apply(k).name()):
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+            told = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            made += sum(int(v.get().replace(",", "")) for v in told if v.isDefined())
+    return result, made
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_join_edges_once(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task, raising=False)
+    rng = np.random.default_rng(3)
+    # Three ways of dealing 2,000 members into blocks, each connected to its least member; chains of blocks; noise.
+    edges = [(int(x), int(min(b))) for _ in range(3) for b in np.array_split(rng.permutation(2000), 12) for x in b] + [(3000 + k, 3001 + k) for k in range(50)]
+    edges += [tuple(map(int, p)) for p in rng.integers(5000, 5400, (150, 2))]
+    got, made = joined_rows(spark, lambda: graph.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect())
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    at = {x: k for k, x in enumerate(nodes)}
+    i, j = (np.array([at[e[k]] for e in edges if e[0] != e[1]]) for k in (0, 1))
+    assert {r["node"]: r["component"] for r in got} == {x: nodes[r] for x, r in zip(nodes, graph.least_rows(len(nodes), i, j), strict=True)}
+    assert made < 4 * len(edges)
+
+
+def test_open_pairs_of_large_groups_are_no_rows(spark, monkeypatch):
+    """A large group of which all pairs pass the estimate and few are links: joins make rows of members, not of pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    rng = random.Random(17)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = say(400)
+    texts = [" ".join(common + say(90)) for _ in range(240)]  # shares 396 of 576 shingles with any other: 0.69
+    texts += [t + " more" for t in texts[::60]]
+    rows = docs(spark, list(enumerate(texts)))
+    got, made = joined_rows(spark, lambda: {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()})
+    assert got == {k: k for k in range(240)} | {240 + k: 60 * k for k in range(4)}
+    assert made < len(texts) ** 2 / 2
