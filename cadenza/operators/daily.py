@@ -91,12 +91,51 @@ def last_of_month(rows: DataFrame, column: str) -> DataFrame:
 
 @operator
 def rolling_market_rmse(s: Stage, *children: Column, window: int = 252, min_obs: int = 100) -> Column:
-    rows = with_factors(s, days(s)).select("e", "m", "d", (F.col("ret") - F.col("rf")).alias("y"), F.col("mktrf").alias("x")).dropna()
-    frame = W.partitionBy("e").orderBy("d").rowsBetween(-(window - 1), 0)
-    n = F.count("y").over(frame)
-    sxx, sxy, syy = (getattr(F, f"regr_{k}")("y", "x").over(frame) for k in ("sxx", "sxy", "syy"))
-    rmse = F.when((n >= min_obs) & (sxx > 0), F.sqrt(F.greatest(F.lit(0.0), syy - sxy * sxy / sxx) / (n - 2)))
-    return s.attach(last_of_month(rows.withColumn("v", clean(rmse)), "v").where("value IS NOT NULL"))
+    rows = with_factors(s, days(s)).select("e", "m", F.unix_date("d").alias("d"), (F.col("ret") - F.col("rf")).alias("y"), F.col("mktrf").alias("x")).dropna()
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for part in filter(len, parts):
+            known = part if kept is None else pd.concat([kept, part], ignore_index=True)
+            e, m = known["e"].to_numpy(), known["m"].to_numpy()
+            last = np.r_[(e[1:] != e[:-1]) | (m[1:] != m[:-1]), True]  # of its month, or of the batch
+            rows = np.flatnonzero(last & (np.arange(len(e)) >= len(known) - len(part)))
+            value = trailing_rmse(e, known["y"].to_numpy(float), known["x"].to_numpy(float), window, min_obs, rows)
+            yield known.iloc[rows][["e", "m", "d"]].assign(v=value)
+            kept = known.iloc[max(0, len(known) - window + 1) :]
+
+    # Sliding frames would evaluate each of a window's rows again for each row, one at a time.
+    fits = rows.repartition("e").sortWithinPartitions("e", "d").mapInPandas(fit, "e bigint, m int, d int, v double")
+    return s.attach(last_of_month(fits.withColumn("v", clean(F.col("v"))), "v").where("value IS NOT NULL"))
+
+
+#: Rows whose windows are laid out at a time.
+ROWS = 4096
+
+
+def trailing_rmse(e: np.ndarray, y: np.ndarray, x: np.ndarray, window: int, least: int, wanted: np.ndarray) -> np.ndarray:
+    """Root mean square residual of y on x over an entity's last rows (n - 2 degrees of freedom), NaN where there is none.
+
+    Rows are ordered by entity and time, ``wanted`` are positions.  Means are taken off in a first pass over each window.
+    """
+    out = np.full(len(wanted), np.nan)
+    at = np.arange(len(e))
+    starts = np.maximum.accumulate(np.where(np.r_[True, e[1:] != e[:-1]], at, 0))
+    count = np.minimum(at - starts + 1, window)
+    xs, ys = (np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(window - 1), v], window) for v in (x, y))
+    enough = np.flatnonzero(count[wanted] >= least)
+    for k in range(0, len(enough), ROWS):
+        rows = wanted[enough[k : k + ROWS]]
+        n = count[rows]
+        inside = np.arange(window) >= window - n[:, None]
+        with np.errstate(all="ignore"):
+            px, py = np.where(inside, xs[rows], 0.0), np.where(inside, ys[rows], 0.0)
+            dx, dy = (np.where(inside, v - (v.sum(axis=1) / n)[:, None], 0.0) for v in (px, py))
+            sxx, sxy, syy = (np.einsum("rw,rw->r", a, b) for a, b in ((dx, dx), (dx, dy), (dy, dy)))
+            varied = np.where(inside, px, x[rows, None]).min(axis=1) < np.where(inside, px, x[rows, None]).max(axis=1)
+            rmse = np.sqrt(np.maximum(0.0, syy - sxy * sxy / sxx) / (n - 2))
+        out[enough[k : k + ROWS]] = np.where(varied & (sxx > 0), rmse, np.nan)
+    return out
 
 
 def _stock_months(s: Stage) -> DataFrame:

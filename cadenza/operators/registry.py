@@ -12,6 +12,9 @@ from cadenza.plans.stage import Stage
 Operator = Callable[..., Column]
 OPERATORS: dict[str, Operator] = {}
 
+#: Operators that write rows of the stage (``residuals_by_month``) while a query is built.
+WRITING = ("intangible_residual",)
+
 
 def operator(fn: Operator) -> Operator:
     """Register a function (stage, *columns, **parameters) -> column under its own name."""

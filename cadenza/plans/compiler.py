@@ -17,6 +17,7 @@ from cadenza.functions.ieee import clean
 from cadenza.operators.relational import first_by
 from cadenza.plans.expr import Expr
 from cadenza.plans.stage import Stage, Tables
+from cadenza.sources.sinks import written
 
 #: Datasets by the way their rows reach an entity's month.
 FIRM = ("statement_quarter",)
@@ -96,6 +97,15 @@ class Library:
                 stage.df = stage.df.join(rows, ["e", "m"], "left")
             for n in group:
                 made[n.key] = F.col(prefix + n.name.split(".")[1])
+        # Operators that write rows evaluate the stage on the spot: they come first, so that what others attach is not
+        # evaluated again for each of them, and start from a spine that is written once.
+        early: dict[str, Expr] = {}
+        for node in nodes.values():
+            if node.kind == "op" and node.name in operators.WRITING:
+                early |= node.nodes()
+        if early:
+            stage.df = written(stage.df, "spine")
+        nodes = early | nodes
         for key, node in nodes.items():
             if node.kind == "const":
                 made[key] = F.lit(node.value)

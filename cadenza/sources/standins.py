@@ -64,7 +64,7 @@ DRIVER = ("lineitem", "supplier", "orders", "customer", "part", "events")
 
 
 #: Tables that others are made of, or that most queries read: computed once for a session.
-KEPT = ("priced", "stock_month", "statement_year", "statement_month", "statement_quarter", "universe", "stock_day", "factors_day")
+KEPT = ("priced", "stock_month", "statement_year", "statement_quarter", "universe", "stock_day", "factors_day")
 
 
 class Standins:

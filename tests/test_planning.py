@@ -22,3 +22,16 @@ def test_plan_grows_in_step_with_residual_operators(spark):
     names = ["IntanBM", "IntanCFP", "IntanEP", "IntanSP"]
     size = lambda few: len(Library(standins(spark, SMALL)).wide({n: factor(n) for n in few})._jdf.queryExecution().analyzed().toString())
     assert size(names[:4]) < 4 * size(names[:1])
+
+
+def test_residuals_are_written_before_others_attach(spark, monkeypatch):
+    """What is written on the spot must not hold the daily regressions that the query names first."""
+    from cadenza.operators import regression
+    from cadenza.plans.catalog import factor
+    from cadenza.plans.compiler import Library
+    from cadenza.sources.standins import standins
+
+    plans = []
+    monkeypatch.setattr(regression, "written", lambda df, label: plans.append(optimised(df)) or df)
+    Library(standins(spark, SMALL)).wide({n: factor(n) for n in ("PriceDelayTstat", "IntanBM")})
+    assert len(plans) == 1 and "MapInPandas" not in plans[0]
