@@ -35,3 +35,23 @@ def test_residuals_are_written_before_others_attach(spark, monkeypatch):
     monkeypatch.setattr(regression, "written", lambda df, label: plans.append(optimised(df)) or df)
     Library(standins(spark, SMALL)).wide({n: factor(n) for n in ("PriceDelayTstat", "IntanBM")})
     assert len(plans) == 1 and "MapInPandas" not in plans[0]
+
+
+def test_trailing_rmse_of_each_wanted_row():
+    import numpy as np
+
+    from cadenza.operators.daily import trailing_rmse
+
+    rng = np.random.default_rng(1)
+    e, x, y = np.repeat([1, 2], [40, 9]), rng.normal(size=49), rng.normal(size=49)
+    y[3] = 1e9  # past, it leaves no rounding behind
+    wanted = np.array([5, 20, 39, 41, 48])
+    found = trailing_rmse(e, y, x, 12, 6, wanted)
+    for at, value in zip(wanted, found, strict=True):
+        rows = [i for i in range(max(0, at - 11), at + 1) if e[i] == e[at]]
+        if len(rows) < 6:
+            assert np.isnan(value)
+            continue
+        slope, constant = np.polyfit(x[rows], y[rows], 1)
+        rest = y[rows] - constant - slope * x[rows]
+        assert np.isclose(value, np.sqrt((rest**2).sum() / (len(rows) - 2)))
